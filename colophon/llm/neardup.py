@@ -6,11 +6,14 @@ Two small collections of half-bands are drawn, A (``a_bands`` of ``a_rows`` mini
 with probability (1 - 0.8**3)**14 + (1 - 0.8**2)**10 = 8e-5.
 
 Equal shingle sets are one class before anything is paired.  A bucket (texts sharing a key) is then resolved by
-pivots: members are compared, on full sets, with a few members of the bucket; links join components, and only
-members of different components that have not been compared go to the next round.  What is left after the pivot
-rounds is compared pair by pair, so no link in a bucket is lost, while a group of thousands of copies costs one
-comparison a member and not all pairs.  Buckets are aggregated before the shuffle and joined by sort-merge joins,
-which adaptive execution splits when a key is hot.
+pivots: members are compared, on full sets, with the members that share most buckets with others (the originals of
+large groups of copies, as a rule); links join components, and only members that have not been compared and are in
+different components go to the next round.  So a group of thousands of copies costs a comparison or a few a member
+and not all pairs.  What the pivot rounds leave open is compared exactly, family by family (texts connected by the
+open buckets): families are cut into blocks by size class and hash, a task counts all intersections of two blocks
+by matrix products over their shared shingles, and hands in a spanning forest of the links.  No link in a bucket is
+lost.  Buckets are aggregated before the shuffle and joined by sort-merge joins, which adaptive execution splits
+when a key is hot.
 
 Defined results: null or empty texts and texts without words have no shingles, link with nothing and stand alone;
 repeated rows of equal doc_id count once for linking and come back as often as they came in; an empty table gives an
@@ -23,8 +26,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,7 +47,9 @@ class Banding:
     a_rows: int = 3
     b_bands: int = 10
     b_rows: int = 2
-    pivots: tuple[int, ...] = (1, 4, 16)
+    pivots: tuple[int, ...] = (1, 4)
+    block: int = 256
+    block_shingles: int = 200_000
     broadcast_ids: int = 1_000_000
 
 
@@ -128,11 +134,8 @@ def _sets(words: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, p: Banding) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, p: Banding) -> DataFrame:
     """The pairs (a, b) that are links, by exact counts over full shingle sets."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(p.words), "id long, s array<long>")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"
     )
@@ -144,6 +147,89 @@ def _verified(docs: DataFrame, pairs: DataFrame, p: Banding) -> DataFrame:
     )
 
 
+def spanning_links(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different sides (of any rows, if there is one side only) that join different labels, a
+    spanning forest of them."""
+    n = len(ids)
+    size = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(n), size)
+    tokens, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = df[column] > 1
+    row, column = row[some], (np.cumsum(df > 1) - 1)[column[some]]
+    shared = np.zeros((n, n), np.float32)  # counts below 2**24 are exact
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = 4096
+    for c in range(0, int(column.max(initial=-1)) + 1, width):
+        lo, hi = np.searchsorted(column, [c, c + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[lo:hi], column[lo:hi] - c] = 1
+        shared += part @ part.T
+    union = size[:, None] + size[None, :] - shared
+    link = np.triu(100 * shared.astype(np.float64) >= percent * union, 1) & (labels[:, None] != labels[None, :])
+    if sides.min() != sides.max():
+        link &= sides[:, None] != sides[None, :]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(link), strict=True):
+        a, b = root(int(labels[i])), root(int(labels[j]))
+        if a != b:
+            up[a] = b
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _open_links(live: DataFrame, sets: DataFrame, p: Banding) -> DataFrame:
+    """Links (a, b) among the members of open buckets (key, doc_id, n, label), exactly, by blocks."""
+    hub = live.groupBy("key").agg(F.min("doc_id").alias("b"))
+    family = merged(None, live.join(hub, "key").where("doc_id <> b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")))
+    docs = (
+        live.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+        .join(family.select(F.col("id").alias("doc_id"), F.col("label").alias("family")), "doc_id")
+        .withColumn("class", F.floor(F.log(100 / p.percent, F.col("n") * 1.0)).cast("int"))
+    )
+    # sizes of links are within a factor of 100 / percent: one class or two that follow each other
+    classes = docs.groupBy("family", "class").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("blocks")
+    )
+    classes = written(classes, "classes")
+    for k in (-1, 1):
+        docs = docs.join(classes.select("family", (F.col("class") - k).alias("class"), F.col("blocks").alias(f"blocks{k}")), ["family", "class"], "left")
+    docs = docs.join(classes, ["family", "class"]).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
+
+    def up_to(c: str) -> Column:
+        return F.sequence(F.lit(0), F.col(c) - 1)
+
+    def task(of: Column, i: Column, j: Column, next_: int, side: Column) -> Column:
+        return F.struct(of.alias("class_"), i.cast("int").alias("i_"), j.cast("int").alias("j_"), F.lit(next_).alias("next_"), side.alias("side_"))
+
+    of, i = F.col("class"), F.col("i")
+    own = F.transform(up_to("blocks"), lambda j: task(of, F.least(i, j), F.greatest(i, j), 0, (i > j).cast("int")))
+    below = F.transform(up_to("blocks1"), lambda j: task(of, i, j, 1, F.lit(0)))
+    above = F.transform(up_to("blocks-1"), lambda j: task(of - 1, j, i, 1, F.lit(1)))
+    none = F.array().cast("array<struct<class_:int,i_:int,j_:int,next_:int,side_:int>>")
+    spread = docs.select("doc_id", "label", "family", F.explode(F.concat(own, F.coalesce(below, none), F.coalesce(above, none))).alias("t"))
+    rows = spread.join(sets, F.col("doc_id") == F.col("id")).select("doc_id", "label", "family", "t.*", "s")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = pdf["side_"].to_numpy()
+        if pdf["i_"].iloc[0] == pdf["j_"].iloc[0] and not pdf["next_"].iloc[0]:
+            sides = np.zeros(len(pdf), int)
+        elif sides.min() == sides.max():
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        found = spanning_links(pdf["doc_id"].to_numpy(), pdf["label"].to_numpy(), sides, list(pdf["s"]), p.percent)
+        return pd.DataFrame(found or np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    return rows.groupBy("family", "class_", "i_", "j_", "next_").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     p, spark = banding, docs.sparkSession
@@ -155,6 +241,8 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
         sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes"
     )
     reps = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # a row becomes more than a hundred: as many tasks as any shuffle has
+    reps = reps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     keys = (
         reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("a").alias("ka"), "b")
         .select("doc_id", "n", "ka", F.explode("b").alias("kb"))
@@ -173,35 +261,28 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     live = written(members.join(once.select("key"), "key", "left_semi"), "live")
     drop(members)
     near = F.lit(100) * F.least("n", "n2") >= F.lit(p.percent) * F.greatest("n", "n2")
+    ids = written(live.select("doc_id").distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(p.words), "id long, s array<long>").dropDuplicates(["id"])
+    sets = written(sets, "sets")
+    # the texts that share most buckets are compared first
+    size = live.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    score = live.join(size, "key").groupBy("doc_id").agg(F.sum("c").alias("score"))
+    live = written(live.join(score, "doc_id").withColumn("label", F.col("doc_id")), "scored")
     labels: DataFrame | None = None
-    for turn, n_pivots in enumerate((*p.pivots, None)):
+    for n_pivots in p.pivots:
         if live.isEmpty():
             break
-        if n_pivots is None:
-            other = live.select("key", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            pairs = live.join(other, "key").where("doc_id < doc2 AND label <> label2")
-        else:
-            if turn == 0:
-                pivot = live.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("m")).select(
-                    "key", F.col("m.doc_id").alias("doc2"), F.col("m.n").alias("n2"), F.col("m.doc_id").alias("label2")
-                )
-                live = live.withColumn("label", F.col("doc_id"))
-            else:
-                order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
-                pivot = (
-                    live.withColumn("r", F.row_number().over(order))
-                    .where(F.col("r") <= n_pivots)
-                    .select("key", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-                )
-            pairs = live.join(pivot, "key").where("doc_id <> doc2 AND label <> label2")
-        pairs = written(
-            pairs.where(near).select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b")).distinct(), "pairs"
+        order = Window.partitionBy("key").orderBy(F.desc("score"), "doc_id")
+        pivot = (
+            live.withColumn("r", F.row_number().over(order))
+            .where(F.col("r") <= n_pivots)
+            .select("key", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
         )
-        links = written(_verified(docs, pairs, p), "links")
-        labels = merged(labels, links)
+        pairs = live.join(pivot, "key").where("doc_id <> doc2 AND label <> label2").where(near)
+        pairs = written(pairs.select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b")).distinct(), "pairs")
+        labels = merged(labels, written(_verified(sets, pairs, p), "links"))
         drop(pairs)
-        if n_pivots is None:
-            break
         # pivots have met their whole bucket; the others go on where a bucket still spans components
         rest = (
             live.drop("label")
@@ -213,6 +294,9 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
         spans = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         live = written(rest.join(spans, "key", "left_semi"), "live")
         drop(rest)
+    if not live.isEmpty():
+        labels = merged(labels, written(_open_links(live, sets, p), "links"))
+    drop(sets)
     reps_of = classes
     if labels is not None:
         reps_of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
