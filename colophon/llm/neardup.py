@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     )
     reps = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # a row becomes more than a hundred: as many tasks as any shuffle has
-    reps = reps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    reps = reps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id", F.lit(9)))
     keys = (
         reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("a").alias("ka"), "b")
         .select("doc_id", "n", "ka", F.explode("b").alias("kb"))
