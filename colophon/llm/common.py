@@ -76,6 +76,38 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+#: Rows of an Arrow batch at most: texts are long, and a batch is in memory at both ends.
+BATCH_ROWS = 2000
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_ROWS, with memory given back after every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def tidy(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def signed(a):
     """uint64 to int64, bit for bit."""
     import numpy as np

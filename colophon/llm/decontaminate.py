@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
 from .textkern import ALNUM, Words, hash_words, pieces
 
 
@@ -274,7 +275,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 found = find(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_fields(found)], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
-        one = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+        one = docs.transform(arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
         plan = one if plan is None else plan.unionByName(one)
     if len(parts) == 1:
         return plan
@@ -318,5 +319,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                     batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
                 yield batch
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(arrow, run, docs.schema)
     return docs

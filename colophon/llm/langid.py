@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import arrow, held_out, trim
 from .textkern import LETTERS, LOWER, U64, pieces
 
 BITS = 15
@@ -145,7 +145,8 @@ def fit_language(docs: DataFrame, sample: int = 2400, reject_share: float = 0.00
     if not counts:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
     few, _ = sampled(rows, "lang", max(20, sample // len(counts)), seed, counts)
-    got = few.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").mapInArrow(_counts, "lang string, i array<int>, c array<int>").toPandas()
+    got = few.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").transform(arrow, _counts, "lang string, i array<int>, c array<int>").toPandas()
+    trim()
     labels = sorted(counts)
     number = {x: i for i, x in enumerate(labels)}
     examples = [(number[x], np.asarray(i), np.asarray(c)) for x, i, c in zip(got["lang"], got["i"], got["c"], strict=True) if len(i)]
@@ -157,6 +158,8 @@ def fit_language(docs: DataFrame, sample: int = 2400, reject_share: float = 0.00
     table = emb @ w
     z = np.array([(examples[k][2] / examples[k][2].sum()) @ table[examples[k][1]] + bias for k in back]).reshape(len(back), len(labels))
     t, reject = _calibrated(z, np.array([examples[k][0] for k in back], int), reject_share) if len(back) else (1.0, 0.0)
+    del examples, emb, got
+    trim()
     return LanguageModel(labels, np.ascontiguousarray(table, np.float32), bias, t, reject)
 
 
@@ -204,7 +207,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double, lang_rejected boolean"
-    return docs.withColumn("letters_", has_letter).mapInArrow(run, schema)
+    return docs.withColumn("letters_", has_letter).transform(arrow, run, schema)
 
 
 def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -219,4 +222,4 @@ def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
             letters = np.array([x.is_valid and any(map(str.isalpha, x.as_py())) for x in col], bool)
             yield batch.filter(pa.array(letters & (score >= model.reject)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)

@@ -186,4 +186,6 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     plan = mixture(docs, mix).where("copies > 0").select("doc_id", "size", "source_size", "target", "taken", "shards")
     rows = docs.join(plan, "doc_id").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
     place = F.xxhash64("doc_id", "copy", F.lit(mix.seed + 200))
-    return rows.withColumn("place", place).repartition(mix.shards, "shard").sortWithinPartitions("shard", "place")
+    # a shard is laid out in up to 256 runs of places, so that its size does not bound a task's
+    rows = rows.withColumn("place", place)
+    return rows.repartition("shard", F.shiftright("place", 56)).sortWithinPartitions("shard", "place")

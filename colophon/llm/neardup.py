@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop, release, signed, written
+from .common import arrow, drop, release, signed, written
 from .components import merged
 from .textkern import SPACED, U64, Words, mix, pieces
 
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     p, spark = banding, docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = written(
-        docs.mapInArrow(_signatures(p), "doc_id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>"), "signatures"
+        docs.transform(arrow, _signatures(p), "doc_id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>"), "signatures"
     )
     classes = written(
         sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes"
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     near = F.lit(100) * F.least("n", "n2") >= F.lit(p.percent) * F.greatest("n", "n2")
     ids = written(live.select("doc_id").distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(p.words), "id long, s array<long>").dropDuplicates(["id"])
+    sets = docs.join(wanted, "doc_id", "left_semi").transform(arrow, _sets(p.words), "id long, s array<long>").dropDuplicates(["id"])
     sets = written(sets, "sets")
     # the texts that share most buckets are compared first
     size = live.groupBy("key").agg(F.count(F.lit(1)).alias("c"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, release, text_or_empty, written
+from .common import arrow, drop, release, text_or_empty, written
 from .textkern import U64, mix, pieces
 
 GRAM = 16
@@ -136,7 +136,7 @@ def _ranges(docs: DataFrame, n_docs: int, n_bytes: int, p: Suffixes) -> Ranges:
                     [pa.array(leads.view(np.int64)), pa.array(gram_key(leads, gram[keep]).view(np.int64))], ["lead", "key"]
                 )
 
-    got = few.mapInArrow(run, "lead long, key long").toPandas()
+    got = few.transform(arrow, run, "lead long, key long").toPandas()
     leads, keys = np.sort(got["lead"].to_numpy().view(U64)), got["key"].to_numpy().view(U64)
     n = max(1, math.ceil(2 * n_bytes / (p.length - GRAM + 2) / p.bucket))
     cuts = leads[(np.arange(1, n) * len(leads)) // n] if len(leads) else leads
@@ -422,7 +422,7 @@ def _wide(joined: DataFrame, length: int) -> DataFrame:
                         ["doc_id", "s", "w"],
                     )
 
-    rows = joined.where(F.exists("wide", lambda x: x)).mapInArrow(windows, "doc_id long, s int, w binary")
+    rows = joined.where(F.exists("wide", lambda x: x)).transform(arrow, windows, "doc_id long, s int, w binary")
     rows = written(rows.select("doc_id", "s", F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("g")).distinct(), "windows")
     first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "s")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     return (
@@ -465,9 +465,9 @@ def find_repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> Found:
     own = docs.where(F.octet_length("text") >= p.length).join(_small(copies, copies_small), "doc_id", "left_anti")
     r = _ranges(own, n_docs, n_bytes, p)
     kept = written(
-        own.mapInArrow(_spread(r, p.length), _BLOB)
+        own.transform(arrow, _spread(r, p.length), _BLOB)
         .repartitionById(r.n, F.col("pid"))
-        .mapInArrow(_repeating(p.hot), _KEPT),
+        .transform(arrow, _repeating(p.hot), _KEPT),
         "kept",
     )
     release(spark)
@@ -480,9 +480,9 @@ def find_repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> Found:
     joined = some.join(by_doc, "doc_id")
     around, kind = _around(again, p.length)
     spans = (
-        joined.mapInArrow(around, _BLOB)
+        joined.transform(arrow, around, _BLOB)
         .repartitionById(again.n, F.col("pid"))
-        .mapInArrow(_bucketed(kind, p.length, p.context_bucket), "doc_id long, a array<int>, b array<int>")
+        .transform(arrow, _bucketed(kind, p.length, p.context_bucket), "doc_id long, a array<int>, b array<int>")
     )
     any_wide = not by_doc.where(F.exists("wide", lambda x: x)).isEmpty()
     if any_wide:
@@ -535,7 +535,7 @@ def repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return (
-        cut.select("doc_id", "text", "a", "b").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        cut.select("doc_id", "text", "a", "b").transform(arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         .unionByName(copies.select("doc_id", size, size, F.lit(1).cast("long"), F.lit(empty)).toDF(*names))
         .unionByName(rest.select("doc_id", size, zero, zero, F.sha2("text", 256)).toDF(*names))
     )

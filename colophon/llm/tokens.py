@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -101,7 +103,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataF
                 [batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(_COUNTS))], ["doc_id", *(n for n, _ in _COUNTS)]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
+    return docs.select("doc_id", "text").transform(arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
 
 
 def field_token_counts(rows: DataFrame, key: str, fields: list[str], separator: str = "\n\n", vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -122,4 +124,4 @@ def field_token_counts(rows: DataFrame, key: str, fields: list[str], separator:
             )
 
     picked = rows.select(F.col(key).alias("key_"), *(F.col(f).cast("string").alias(f"f{i}_") for i, f in enumerate(fields)))
-    return picked.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {_SCHEMA}")
+    return picked.transform(arrow, run, f"{key} {rows.schema[key].dataType.simpleString()}, {_SCHEMA}")

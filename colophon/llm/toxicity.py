@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, signed, written
+from .common import arrow, held_out, signed, written
 from .langid import sampled
 from .textkern import LETTERS, U64, Words, lut, mix, pieces
 
@@ -211,7 +211,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, nega
     rows = written(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL"), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     pos, neg = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    got = rows.mapInArrow(_mined, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    got = rows.transform(arrow, _mined, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     a, b = F.col("pos") + 0.0, F.col("neg") + 0.0
     df, total = a + b, float(pos + neg)
 
@@ -240,7 +240,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, nega
                     ["doc_id", "y", "e", "p"],
                 )
 
-    sample = rows.mapInArrow(seen, "doc_id long, y int, e array<int>, p array<int>").toPandas().sort_values("doc_id")
+    sample = rows.transform(arrow, seen, "doc_id long, y int, e array<int>, p array<int>").toPandas().sort_values("doc_id")
     x = np.zeros((len(sample), len(lexicon) + len(PATTERNS)), bool)
     for i, (e, p) in enumerate(zip(sample["e"], sample["p"], strict=True)):
         x[i, e] = True
@@ -273,4 +273,4 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").transform(arrow, run, f"doc_id {kind}, score double")
