@@ -1,7 +1,7 @@
 """Connected components over an edge table, without gathering edges, nodes or components anywhere.
 
-Each round hooks every node to its smallest neighbour, halves the resulting chains twice, relabels the edges and
-drops those inside a component.  Rounds grow with the logarithm of the longest chain, and the edge table shrinks
+Each round hooks every node to its smallest neighbour, shortens the resulting chains by pointer jumping until all end
+at their roots, relabels the edges and drops those inside a component.  Rounds grow with the logarithm of the longest chain, and the edge table shrinks
 from round to round.  A hub's neighbours meet only in an aggregation that combines before the shuffle and in joins
 that adaptive execution can split.
 """
@@ -35,10 +35,14 @@ def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up"))
-        for _ in range(2):
-            above = hook.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-            hook = hook.join(above, "up", "left").select("id", F.coalesce("up2", "up").alias("up"))
-        hook = written(hook, "hooks")
+        while True:  # until every chain ends at its root, so that a label is always its own label
+            for _ in range(2):
+                above = hook.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+                hook = hook.join(above, "up", "left").select("id", F.coalesce("up2", "up").alias("up"))
+            hook = written(hook, "hooks")
+            roots = hook.where("id = up").select(F.col("id").alias("up"))
+            if hook.join(roots, "up", "left_anti").isEmpty():
+                break
         fresh = hook.select("id", F.col("up").alias("label"))
         if labels is not None:
             moved = (
