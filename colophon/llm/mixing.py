@@ -83,9 +83,28 @@ def split_quotas(units: np.ndarray, shards: int, rng: np.random.Generator) -> np
     return out
 
 
+def nearest_subset(sizes: list[int], rest: float) -> list[bool]:
+    """The subset whose sum is nearest to ``rest``, by the bits of all reachable sums."""
+    reach = [1]
+    for x in sizes:
+        reach.append(reach[-1] | reach[-1] << x)
+    last, low, high = reach[-1], int(rest), int(rest) + 1
+    while low >= 0 and not last >> low & 1:
+        low -= 1
+    top = last.bit_length()
+    while high < top and not last >> high & 1:
+        high += 1
+    at = high if high < top and high - rest < rest - low else low
+    out = []
+    for x, before in zip(reversed(sizes), reversed(reach[:-1]), strict=True):
+        out.append(not before >> at & 1)
+        at -= x if out[-1] else 0
+    return out[::-1]
+
+
 def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's last block the rows that fill ``rest``: in permuted order whatever still fits, then the
-    smallest other row if that comes nearer."""
+    """Of one source's last block the rows that fill ``rest``: in permuted order whatever still fits, then
+    single additions and exchanges that come nearer; of a few rows the best choice of all."""
     pdf = pdf.sort_values(["u", "doc_id", "size"], kind="stable")
     rest, taken, sizes = float(pdf["rest"].iloc[0]), 0, pdf["size"].to_numpy()
     chosen = np.zeros(len(pdf), bool)
@@ -93,11 +112,28 @@ def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
         if s and taken + s <= rest:
             chosen[i] = True
             taken += int(s)
-    others = np.flatnonzero(~chosen & (sizes > 0))
-    if len(others):
-        i = others[np.argmin(sizes[others])]
-        if taken + sizes[i] - rest < rest - taken:
-            chosen[i] = True
+    if len(pdf) <= 64 and sizes.sum() <= 4_000_000:
+        chosen = np.array(nearest_subset(sizes.tolist(), rest), bool) & (sizes > 0)
+        taken = int(sizes[chosen].sum())
+    while True:  # add a row, or put one in another's place, as long as that comes nearer
+        gap = rest - taken
+        others, inside = np.flatnonzero(~chosen & (sizes > 0)), np.flatnonzero(chosen)
+        if not len(others):
+            break
+        others = others[np.argsort(sizes[others], kind="stable")]
+        leave = np.concatenate([[0], sizes[inside]])
+        want = gap + leave
+        at = np.searchsorted(sizes[others], want)
+        best = min(
+            ((abs(gap - (sizes[others[k]] - leave[i])), i, k) for shift in (-1, 0) for i, k in enumerate(np.clip(at + shift, 0, len(others) - 1))),
+            key=lambda x: x[0],
+        )
+        if best[0] >= abs(gap):
+            break
+        if best[1]:
+            chosen[inside[best[1] - 1]] = False
+        chosen[others[best[2]]] = True
+        taken = int(sizes[chosen].sum())
     pdf["chosen"] = chosen
     return pdf[["doc_id", "sk", "size", "chosen"]]
 
@@ -182,9 +218,11 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: a row of ``docs`` for every copy taken, with ``shard``, ``copy`` and ``place`` (the order in a
-    shard), laid out by shard and shuffled inside it.  doc_id must be unique."""
+    shard), laid out by shard and shuffled inside it.  The mix's own columns replace those of the same names.  Rows that repeat
+    a doc_id are drawn each, as rows of that document."""
     plan = mixture(docs, mix).where("copies > 0").select("doc_id", "size", "source_size", "target", "taken", "shards")
-    rows = docs.join(plan, "doc_id").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copy", "shard", "shards", "place")]
+    rows = docs.select(*own).join(plan, "doc_id").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
     place = F.xxhash64("doc_id", "copy", F.lit(mix.seed + 200))
     # a shard is laid out in up to 256 runs of places, so that its size does not bound a task's
     rows = rows.withColumn("place", place)

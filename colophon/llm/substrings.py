@@ -494,11 +494,16 @@ def find_repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> Found:
     return Found(copies, spans, copies_small, spans.count() <= p.broadcast_ids)
 
 
+#: Names beside a table's own columns.
+CUT = ("cut_from__", "cut_to__")
+
+
 def _split(docs: DataFrame, found: Found) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents that are later copies, that have ranges to remove (with them), and the others."""
     copies, ids = _small(found.copies, found.copies_small), _small(found.spans.select("doc_id"), found.spans_small)
+    spans = found.spans.select("doc_id", F.col("a").alias(CUT[0]), F.col("b").alias(CUT[1]))
     own = docs.join(copies, "doc_id", "left_anti")
-    return docs.join(copies, "doc_id", "left_semi"), own.join(ids, "doc_id", "left_semi").join(found.spans, "doc_id"), own.join(ids, "doc_id", "left_anti")
+    return docs.join(copies, "doc_id", "left_semi"), own.join(ids, "doc_id", "left_semi").join(spans, "doc_id"), own.join(ids, "doc_id", "left_anti")
 
 
 def ranges_of(a, b) -> tuple[np.ndarray, np.ndarray]:
@@ -519,7 +524,7 @@ def repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, text, a, b in zip(*(batch.column(c) for c in ("doc_id", "text", "a", "b")), strict=True):
+            for d, text, a, b in zip(*(batch.column(c) for c in ("doc_id", "text", *CUT)), strict=True):
                 raw = text.as_py().encode()
                 a, b = ranges_of(a.values, b.values)
                 h, at = hashlib.sha256(), 0
@@ -535,7 +540,7 @@ def repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return (
-        cut.select("doc_id", "text", "a", "b").transform(arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        cut.select("doc_id", "text", *CUT).transform(arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         .unionByName(copies.select("doc_id", size, size, F.lit(1).cast("long"), F.lit(empty)).toDF(*names))
         .unionByName(rest.select("doc_id", size, zero, zero, F.sha2("text", 256)).toDF(*names))
     )
@@ -561,5 +566,5 @@ def without_repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> DataFrame:
             out.append(b"".join([*parts, raw[at:]]).decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
-    left = cut.withColumn("text", kept("text", "a", "b")).where(F.length("text") > 0).select(*docs.columns)
+    left = cut.withColumn("text", kept("text", *CUT)).where(F.length("text") > 0).select(*docs.columns)
     return left.unionByName(rest.select(*docs.columns))
