@@ -98,7 +98,10 @@ def last_wins_by_content(spark, sf_dir):
     return last_wins(table(spark, sf_dir, "documents").select(F.md5("text").alias("key"), "doc_id", "source"), ["key"], ["doc_id"])
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages WHERE NOT regexp_matches(html, '[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')""".replace("\\\\", "\\"))
+# white space of Unicode, spelled for a regex without Unicode classes
+_SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{_SPACE}', ' ', 'g')) AS text FROM pages""")
 def markup_stripped(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").where(~F.col("html").rlike("[\u0085   -     　]"))
-    return rows.select("page_id", strip_markup(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))

@@ -85,7 +85,8 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
 
 def section(body, heading: str):
     """Text under ``## heading`` up to the next heading of that level."""
-    return F.trim(F.regexp_extract(body, rf"(?ms)^## \Q{heading}\E[ \t]*\n(.*?)(?=^## |\z)", 1))
+    found = F.regexp_extract(F.coalesce(body, F.lit("")), rf"(?ms)^## \Q{heading}\E[ \t]*\n(.*?)(?=^## |\z)", 1)
+    return F.regexp_replace(found, r"(?U)^\s+|\s+$", "")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
