@@ -174,3 +174,33 @@ def test_rename_plan(spark):
         ("d", "ee", "q", "rename", "normalized_name"), ("e", "f", "q", "archive", "exact_duplicate_in_folder"), ("e", "q", "z", "rename", "normalized_name"),
     ]
     assert o.rename_plan(df.limit(0)).count() == 0
+
+
+def test_best_result(spark):
+    from colophon.operators.records import best_result
+
+    asked = spark.createDataFrame([(1, "Courts of law", "2010", "smith", "World Politics"), (2, "Trade", "", "", ""), (3, "Nothing like it", None, None, None)], "id int, title string, year string, author string, venue string")
+    results = spark.createDataFrame(
+        [(1, 0, "Courts of law", "2011", "a b", ""), (1, 1, "Courts of law", "2010", "John Smith", "World politics"), (2, 0, "Trade", "1", "", ""), (2, 1, "Trade", "", "", ""), (3, 0, "zzz", None, None, None)],
+        "id int, place int, title string, year string, authors string, venue string")
+    got = sorted((r.id, r.place, round(r.score, 6)) for r in best_result(asked, results, "id", 0.76).collect())
+    assert got == [(1, 1, 1.19), (2, 0, 1.0)]
+    assert sorted((r.id, round(r.score, 6)) for r in best_result(asked, results, "id", 0.82, author=False).collect()) == [(1, 1.08), (2, 1.0)]
+
+
+def test_merged_header(spark):
+    from colophon.operators.records import merged_header
+
+    note = "struct<title:string,aliases:array<string>,authors:array<string>,year:string,venue:string,publisher:string,status:string,doi:string,url:string,entry_type:string,journal_abbr:string,tags:array<string>>"
+    found = "struct<title:string,authors:array<string>,year:string,venue:string,publisher:string,doi:string,url:string,entry_type:string,journal_abbr:string,abstract:string,source:string>"
+    rows = spark.createDataFrame(
+        [("d", "s_2010", ("Mine", ["x"], ["A B"], "2010", "World Politics", None, "organized", "10.1/A", None, "", "", ["wpol", "own"]), ("Theirs", ["C D"], "2011", "Other", "P", "10.2/b", "", "", "", "an audit study", "crossref")),
+         ("d", "t_2011", ("", None, ["A B"], "2010", "", None, "imported-metadata", None, None, "", "", ["metadata-review"]), ("Theirs", ["C D"], "2011", "Annals of X", "P", "10.2/B", "", "article", "", None, "crossref")),
+         ("d", "u_v", ("", None, None, None, None, None, None, None, None, None, None, None), None)], f"dir string, stem string, note {note}, found {found}")
+    got = {r.stem: r for r in merged_header(rows, "Law Cases", "2020-01-01", F.lit(False)).collect()}
+    a, b, c_ = got["s_2010"], got["t_2011"], got["u_v"]
+    assert (a.title, a.authors, a.year, a.venue, a.publisher, a.doi, a.url, a.entry_type, a.journal_abbr) == ("Mine", ["A B"], "2010", "World Politics", "P", "10.1/a", "https://doi.org/10.1/a", "article", "wpol")
+    assert a.tags == ["own", "literature", "source-note", "law-cases", "wpol", "article", "audit-study"] and a.aliases == ["x", "s_2010"]
+    assert (b.title, b.authors, b.year, b.doi, b.journal_abbr) == ("Theirs", ["C D"], "2011", "10.2/b", "annals_of_x")
+    assert b.tags == ["literature", "source-note", "law-cases", "annals_of_x", "article", "needs-summary"]
+    assert (c_.title, c_.doi, c_.entry_type) == ("u v", "", "misc") and "metadata-review" in c_.tags
