@@ -53,6 +53,43 @@ def is_stub_text(status: Column, tags: Column, body: Column) -> Column:
     return (_status(status) == "imported-metadata") | F.array_contains(tags, "metadata-review") | (F.array_contains(tags, "needs-summary") & (words(body) < 200))
 
 
+def wants_title(title: Column, stem: Column) -> Column:
+    """Titles that a resolved one replaces: none, a placeholder, a section's name, or the file's stem."""
+    plain = F.lower(normalize_space(F.coalesce(title, F.lit(""))))
+    # Names that are no titles.
+    empty = plain.isin("", "untitled", "introduction", "preface", "editorial", "foreword") | plain.contains("metadata unresolved")
+    return empty | (dropping_title_words(title) == dropping_title_words(F.replace(stem, F.lit("_"), F.lit(" "))))
+
+
+def generic_title(title: Column) -> Column:
+    """Titles that say nothing: series names, markup, codes with few letters, short shouts, fewer than eight letters."""
+    title = F.coalesce(title, F.lit(""))
+    plain, low = dropping_title_words(title), F.lower(title)
+    count = lambda kind: F.length(F.regexp_replace(title, f"[^{kind}]", ""))
+    letters, few = count(r"\p{L}"), F.size(F.regexp_extract_all(title, F.lit("([A-Za-z0-9]+)"), F.lit(1))) <= 3
+    # Names of series and a macro that covers leave in titles.
+    named = plain.isin("", "nber working paper series", "working paper series") | low.startswith("[renewcommand]") | low.contains("\\renewcommand")
+    return named | ((count(r"\p{Nd}") > 0) & (letters <= 12) & few) | ((letters > 0) & (count(r"\p{Lu}") >= F.lit(0.7) * letters) & few) | (letters < 8)
+
+
+def prunable(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """(dir, stem) of notes to drop: no file, imported metadata only, no identifier, venue or year, a title that says
+    nothing, 500 words at most.  ``notes`` also has year and venue."""
+    text = lambda c: normalize_space(F.coalesce(c, F.lit("")))
+    bare = (_status(F.col("status")) == "imported-metadata") & (text("doi") == "") & (text("venue") == "") & ~text("year").rlike(r"^(19|20)\d{2}$")
+    lost = notes.join(files.select("dir", "stem"), ["dir", "stem"], "left_anti")
+    return lost.where(bare & (words(F.col("body")) <= 500)).where(generic_title(text("title"))).select("dir", "stem")
+
+
+def basic_information(authors: Column, year: Column, venue: Column, doi: Column, pdf: Column, volume: Column, issue: Column, pages: Column) -> Column:
+    """Lines of a note's section on its source; volume, issue and pages only where one is known."""
+    v = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    shown = [F.concat(F.lit(f"- {k}: "), x) for k, x in (("Authors", F.coalesce(F.array_join(authors, ", "), F.lit(""))), ("Year", v(year)), ("Venue", v(venue)), ("DOI", v(doi)))]
+    numbers = [v(volume), v(issue), v(pages)]
+    some = F.when(F.concat(*numbers) != "", F.concat(F.lit("- Volume / Issue / Pages: "), F.concat_ws(" / ", *numbers)))
+    return F.concat_ws("\n", *shown, F.concat(F.lit("- PDF: [["), v(pdf), F.lit("]]")), some)
+
+
 def copies(notes: DataFrame, files: DataFrame) -> DataFrame:
     """(dir, stem, target) of notes without a file whose stem, less its copy suffix, has one."""
     lost = notes.select("dir", "stem").join(files.select("dir", "stem"), ["dir", "stem"], "left_anti").withColumn("p", stem_parts(F.col("stem")))

@@ -204,3 +204,19 @@ def test_merged_header(spark):
     assert (b.title, b.authors, b.year, b.doi, b.journal_abbr) == ("Theirs", ["C D"], "2011", "10.2/b", "annals_of_x")
     assert b.tags == ["literature", "source-note", "law-cases", "annals_of_x", "article", "needs-summary"]
     assert (c_.title, c_.doi, c_.entry_type) == ("u v", "", "misc") and "metadata-review" in c_.tags
+
+
+def test_generic_titles(spark, notes):
+    titles = ["", None, "Working Paper Series", "\\renewcommand x of a long title", "w12345 ab", "SHOUTED TITLE", "abc", "A title with enough letters 2010"]
+    assert one(spark, o.generic_title, titles) == [True] * 7 + [False]
+    assert one(spark, lambda x: o.wants_title(x, F.lit("smith_2010")), ["", None, "Untitled", "Preface", "Smith, 2010", "Courts"]) == [True] * 5 + [False]
+    files = spark.createDataFrame([("d", "smith_2010_apsr")], "dir string, stem string")
+    rows = notes.withColumn("year", F.lit("")).withColumn("venue", F.lit(None).cast("string"))
+    assert [tuple(r) for r in o.prunable(rows, files).collect()] == [("d", "jones_2011_x")]
+
+
+def test_basic_information(spark):
+    rows = spark.createDataFrame([(1, ["A", "B"], "2010", "V", None, "d/x.pdf", "3", None, ""), (2, None, None, None, None, None, None, None, None)],
+                                 "i int, a array<string>, y string, v string, d string, f string, vo string, n string, p string")
+    got = [r.x for r in rows.select("i", o.basic_information(*(F.col(k) for k in ("a", "y", "v", "d", "f", "vo", "n", "p"))).alias("x")).orderBy("i").collect()]
+    assert got == ["- Authors: A, B\n- Year: 2010\n- Venue: V\n- DOI: \n- PDF: [[d/x.pdf]]\n- Volume / Issue / Pages: 3 /  / ", "- Authors: \n- Year: \n- Venue: \n- DOI: \n- PDF: [[]]"]
