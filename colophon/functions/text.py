@@ -137,6 +137,28 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def reaches(a: str, b: str, least: float) -> bool:
+    """``ratio(a, b) >= least``.  Matching blocks are a common subsequence, so a pair whose longest common subsequence
+    is too short is ruled out before ``ratio`` is asked, as soon as a start of ``a`` has lost too many characters."""
+    import math
+
+    total = len(a) + len(b)
+    need = math.ceil(least * total / 2 - 1e-6)
+    lost = len(a) - need  # characters of a that may stay unmatched
+    if min(len(a), len(b)) < need:
+        return False
+    at: dict[str, int] = {}
+    for j, ch in enumerate(b):
+        at[ch] = at.get(ch, 0) | (1 << j)
+    free = full = (1 << len(b)) - 1  # bit by bit, characters of b not matched yet
+    for i, ch in enumerate(a, 1):
+        met = free & at.get(ch, 0)
+        free = ((free + met) | (free - met)) & full
+        if i % 32 == 0 and i - (len(b) - free.bit_count()) > lost:
+            return False
+    return ratio(a, b) >= least
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def links(html: pd.Series, base: pd.Series) -> pd.Series:
     """Targets of a page's links in order, absolute, once each."""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ratio, reference_id
+from ..functions.text import reaches, reference_id
 
 
 def lines(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -51,23 +51,23 @@ def similar_references(rows: DataFrame, block: list[str], id_: str, norm: str, r
     """Pairs (a, b) inside a block whose texts are equal, contain one another at nearly the same length, or reach
     the ratio.  Equal texts meet once: a pair links the smallest ids of two different texts."""
     same = rows.groupBy(*block, norm).agg(F.min(id_).alias("rep_"))
-    left = same.select(*block, F.col(norm).alias("na"), F.col("rep_").alias("a"))
-    right = same.select(*block, F.col(norm).alias("nb"), F.col("rep_").alias("b"))
+    left = same.select(*block, F.col(norm).alias("na"), F.length(norm).alias("la"), F.col("rep_").alias("a"))
+    right = same.select(*block, F.col(norm).alias("nb"), F.length(norm).alias("lb"), F.col("rep_").alias("b"))
     pairs = left.join(right, block).where("a < b")
-    inside = (F.col("na").contains(F.col("nb")) & (F.length("nb") >= F.floor(F.length("na") * share))) | (
-        F.col("nb").contains(F.col("na")) & (F.length("na") >= F.floor(F.length("nb") * share))
+    inside = ((F.col("lb") >= F.floor(F.col("la") * share)) & F.col("na").contains(F.col("nb"))) | (
+        (F.col("la") >= F.floor(F.col("lb") * share)) & F.col("nb").contains(F.col("na"))
     )
     if ratio_least >= 1:
         return pairs.where(inside).select("a", "b")
     # of strings this far apart in length none reaches the ratio
-    near = 2 * F.least(F.length("na"), F.length("nb")) >= ratio_least * (F.length("na") + F.length("nb"))
+    near = 2 * F.least("la", "lb") >= ratio_least * (F.col("la") + F.col("lb"))
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([ratio(p, q) for p, q in zip(x, y, strict=True)])
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([reaches(p, q, ratio_least) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     sure = pairs.where(inside).select("a", "b")
-    maybe = pairs.where(~inside & near).where(score("na", "nb") >= ratio_least).select("a", "b")
+    maybe = pairs.where(near & ~inside).where(alike("na", "nb")).select("a", "b")
     return sure.unionByName(maybe)
 
 

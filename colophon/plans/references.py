@@ -91,9 +91,9 @@ def exact_duplicates(spark, sf_dir):
 
 @query()
 def near_dup_components(spark, sf_dir):
-    """Whole texts that are similar and begin with the same three words are one; no SQL has the ratio."""
+    """Whole texts that are similar and begin with the same word are one; no SQL has the ratio."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("origin"), title_words(F.col("text")).alias("norm"), "text").where("norm <> ''")
-    rows = rows.withColumn("block", F.substring_index("norm", " ", 3))
+    rows = rows.withColumn("block", F.split("norm", " ")[0])
     firsts = rows.groupBy("block", "norm").agg(F.min("doc_id").alias("id"))
     pairs = r.similar_references(firsts, ["block"], "id", "norm")
     parts = r.block_components(pairs, firsts, "id")
