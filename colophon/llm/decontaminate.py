@@ -249,6 +249,17 @@ def merge(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
     return [tuple(x) for x in out]
 
 
+def united(find: list[Finder], col: pa.Array) -> list[tuple[int, int, list[int], list[tuple[int, int, int, int]]]]:
+    """Hits of all blocks in a column, row by row."""
+    out = find[0](col)
+    for f in find[1:]:
+        for k, (n, _, items, spans) in enumerate(f(col)):
+            if spans:
+                both = merge(out[k][3] + spans)
+                out[k] = (n, sum(y - x + 1 for x, y, _, _ in both), sorted({*out[k][2], *items}), both)
+    return out
+
+
 def _fields(found: list) -> list[pa.Array]:
     kind = pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")])
     return [
@@ -303,21 +314,22 @@ def cut(text: str, ranges: list[tuple[int, int]], gap: str = "\n") -> str:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 200_000) -> DataFrame:
-    """``docs`` with every removal span cut from its text; all columns and rows stay."""
-    for part in blocks(benchmark, window, block):
+    """``docs`` with every removal span cut from its text; all columns and rows stay.
 
-        def run(batches: Iterator[pa.RecordBatch], part: Phrases = part) -> Iterator[pa.RecordBatch]:
-            find = Finder(part)
-            for batch in batches:
-                i = batch.schema.get_field_index("text")
-                found = find(batch.column(i))
-                if any(x[3] for x in found):
-                    texts = batch.column(i).to_pylist()
-                    for k, x in enumerate(found):
-                        if x[3]:
-                            texts[k] = cut(texts[k], [(s[2], s[3]) for s in x[3]])
-                    batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
-                yield batch
-
-        docs = docs.transform(arrow, run, docs.schema)
-    return docs
+    The spans of all blocks are found in the whole text and united before anything is cut."""
+    parts = blocks(benchmark, window, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = [Finder(part) for part in parts]
+        for batch in batches:
+            i = batch.schema.get_field_index("text")
+            found = united(find, batch.column(i))
+            if any(x[3] for x in found):
+                texts = batch.column(i).to_pylist()
+                for k, x in enumerate(found):
+                    if x[3]:
+                        texts[k] = cut(texts[k], [(s[2], s[3]) for s in x[3]])
+                batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
+            yield batch
+
+    return docs.transform(arrow, run, docs.schema)

@@ -146,6 +146,16 @@ def test_contamination_odd(spark, odd):
     assert contamination(odd, items.limit(0)).where("n_hit > 0").isEmpty()
 
 
+@pytest.mark.parametrize("block", [200_000, 12, 1])
+def test_decontaminated_does_not_depend_on_blocks(spark, block):
+    w = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (3, " ".join(["x", *w[20:29]])), (4, "p q")]
+    texts = [" ".join(w[:15]), " ".join(["a", *w[:15], "b"]), " ".join(["x", *w[:10], *w[20:29]]), " ".join(["p", *w[:10], "q"]), "clean", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in decontaminated(rows, spark.createDataFrame(items, "item_id long, text string"), block=block).collect()}
+    assert {d: words(t) for d, t in left.items()} == {0: [], 1: ["a", "b"], 2: ["x", *w[20:29]], 3: ["p", "q"], 4: ["clean"], 5: []}
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 4, 300)
