@@ -7,7 +7,7 @@ suffix array.  All phrases are searched backward together through wavelet ranks;
 to a sampled position; their word ranges are merged into removal spans.
 
 No row is shuffled: a shard is indexed and searched where it is read.  The phrases are sent along in blocks of at
-most ``block`` phrases; with more than one block the table is read once for each and the spans are merged by document.
+most ``block`` phrases; every batch is searched for all blocks and their spans are merged row by row.
 
 Defined results: null and empty texts have no words, no hits and no items; items without words are ignored; equal
 items and repeated rows are each judged by themselves; an empty benchmark leaves every document clean; extra columns
@@ -23,7 +23,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import arrow
 from .textkern import ALNUM, Words, hash_words, pieces
@@ -276,32 +275,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     A span holds its first and last word (from 0) and its bytes [start, end) in the UTF-8 text.
     """
     docs = docs.select("doc_id", "text")
-    plan: DataFrame | None = None
     parts = blocks(benchmark, window, block)
-    for part in parts:
-
-        def run(batches: Iterator[pa.RecordBatch], part: Phrases = part) -> Iterator[pa.RecordBatch]:
-            find = Finder(part)
-            for batch in batches:
-                found = find(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_fields(found)], ["doc_id", "n_words", "n_hit", "items", "spans"])
-
-        one = docs.transform(arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
-        plan = one if plan is None else plan.unionByName(one)
-    if len(parts) == 1:
-        return plan
-
-    @F.udf("array<struct<first:long,last:long,start:long,end:long>>")
-    def union(spans):
-        return merge(spans)
-
-    merged = plan.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        union(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["last"] - s["first"] + 1)
-    return merged.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = [Finder(part) for part in parts]
+        for batch in batches:
+            found = united(find, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_fields(found)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    return docs.transform(arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def cut(text: str, ranges: list[tuple[int, int]], gap: str = "\n") -> str:

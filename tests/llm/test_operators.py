@@ -146,6 +146,14 @@ def test_contamination_odd(spark, odd):
     assert contamination(odd, items.limit(0)).where("n_hit > 0").isEmpty()
 
 
+@pytest.mark.parametrize("block", [200_000, 4])
+def test_contamination_keeps_repeated_and_null_ids(spark, block):
+    rows = [(1, "a b c d e"), (1, "f g h i"), (1, "a b c d e"), (None, "a b c"), (None, "f g h"), (2, None)]
+    items = spark.createDataFrame([(1, "a b c"), (2, "f g h"), (3, "c d")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, list(r["items"])) for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), items, block=block).collect())
+    assert got == [(0, 3, 3, [1]), (0, 3, 3, [2]), (1, 4, 3, [2]), (1, 5, 4, [1, 3]), (1, 5, 4, [1, 3]), (2, 0, 0, [])]
+
+
 @pytest.mark.parametrize("block", [200_000, 12, 1])
 def test_decontaminated_does_not_depend_on_blocks(spark, block):
     w = [f"w{i}" for i in range(40)]
