@@ -253,7 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, g: Graph = Graph
         for s in range(0, len(left), 256):
             part = left.iloc[s : s + 256]
             q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            got = search(vec, levels, unit(q), want)[:, : k + 8]
+            got = search(vec, levels, unit(q), want)  # all are scored again: float32 cannot tell close ones apart
             for i, (qid, near) in enumerate(zip(part["query_id"], got, strict=True)):
                 near = near[near >= 0]
                 score = full[near] @ q[i] / (norm[near] * np.sqrt(q[i] @ q[i]))

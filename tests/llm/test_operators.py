@@ -319,6 +319,16 @@ def test_nearest(spark):
     assert nearest(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_nearest_tells_close_points_apart(spark):
+    rng = np.random.default_rng(6)
+    q, v = rng.normal(size=(2, 16))
+    rows = [(0, q.tolist())] + [(1 + j, (v + 3e-10 * ((j * 17) % 40) * q).tolist()) for j in range(40)]
+    rows += [(100 + j, x.tolist()) for j, x in enumerate(rng.normal(size=(100, 16)) - 2 * q)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in nearest(table, table.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [1 + j for j in sorted(range(40), key=lambda j: -((j * 17) % 40))[:5]]
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>T</title><script>if (a<b) {}</script></head><body><div class='cookie-notice'><p>We use cookies on this site to make it better for you.</p></div>"
