@@ -15,7 +15,7 @@ from colophon.llm.hnsw import Graph, nearest
 from colophon.llm.langid import fit_language, identify, without_rejected
 from colophon.llm.mixing import Mix, mixed, mixture, split_quotas, targets
 from colophon.llm.neardup import Banding, near_duplicates
-from colophon.llm.pages import blocks, extract, main_text, minimum_cut
+from colophon.llm.pages import blocks, cost, extract, main_text, minimum_cut
 from colophon.llm.quality import fit_quality, quality
 from colophon.llm.substrings import Suffixes, multikey_order, repeats, without_repeats
 from colophon.llm.tokens import default_vocabulary, field_token_counts, spans, token_counts
@@ -343,6 +343,12 @@ def test_pages(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_words_of_a_block_are_counted_beyond_a_long_first_one():
+    for n in (10, 25):
+        late, early = blocks(f"<p>{'a' * 500}{' word' * n}")[0], blocks(f"<p>{'word ' * n}{'a' * 500}")[0]
+        assert cost(late) == cost(early)
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(5)
     for _ in range(150):
