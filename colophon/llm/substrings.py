@@ -5,20 +5,28 @@ Which suffixes are sorted: of every run of ``length`` bytes at least one suffix
 the same places.  One suffix in about forty is picked.
 
 1. Texts equal as a whole are found by their hashes; later copies are removed whole and take no further part.
-2. Splitters sampled from the leading eight bytes range-partition the picked suffixes.  A lead that fills several
-   ranges is spread by its following tokens; a gram that the sample shows to be hot needs no proof that it repeats
-   and is passed on at once.  Each bucket sorts its suffixes and keeps those whose gram repeats.
-3. Kept suffixes go, with the bytes around them, to buckets of bounded size: the same ranges, split by gram.  A
-   bucket sorts them by multikey quicksort, eight bytes a step, once by what follows and once by what precedes,
-   and compares neighbours.  A string with o bytes before the picked place repeats an earlier one if it falls
-   into one class with it in both orders, at common prefixes of length - o and o; the first of the class stays.
-   A gram in more than ``hot`` places is not sorted in one bucket: its strings are compared across all buckets by
-   an aggregation over their hashes.
+2. Splitters sampled from the leading eight bytes range-partition the picked suffixes; a range is cut further by the
+   hash of the gram, so that buckets stay bounded however many suffixes there are.  A suffix travels as hashes: of its
+   gram, of all bytes within reach (``length - 16`` before, ``length`` from it on), of the first half of what follows
+   and of the half before.  Suffixes with equal bytes within reach are one class: its first stays, all that the others
+   reach is removed at once, and tasks do this before the shuffle too, so copied passages hardly travel.  Of the
+   firsts only those matter that share their gram and a half with another: every string of ``length`` bytes through a
+   picked place holds one of the two halves.
+3. What matters goes, with its bytes within reach, to buckets of bounded size: ranges of its own, cut by gram.  A
+   bucket sorts by multikey quicksort, eight bytes a step, once by what follows and once by what precedes, and
+   compares neighbours.  A string with o bytes before the picked place repeats an earlier one if it falls into one
+   class with it in both orders, at common prefixes of length - o and o; the first of the class stays.  Places of
+   grams in more than ``hot`` places go through the same shuffle as hashes of every string through them instead,
+   dealt by hash, the first of equal ones in a task alone; so no bucket holds a hot gram.
 4. Ranges are merged by document.
 
+Nothing on the driver grows with the corpus: splitters (``ranges`` at most) are quantiles taken by the executors, and
+of hot grams there are at most 50,000 (a gram is hot beyond the larger of ``hot`` places and that share of all).
+
 Defined results: null counts as the empty text; texts shorter than ``length`` keep every byte; rows that repeat a
-doc_id are one document (they come back as often as they came in); ties are broken by doc_id and place; an empty
-table gives an empty result; extra columns are ignored by ``repeats`` and kept by ``without_repeats``.
+doc_id are one document (they come back as often as they came in), and if their texts differ the text of least hash
+is the document while the other rows keep every byte, as rows without doc_id do; ties are broken by doc_id and place;
+an empty table gives an empty result; extra columns are ignored by ``repeats`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -33,24 +41,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, drop, release, text_or_empty, written
-from .textkern import U64, mix, pieces
+from .textkern import U64, RangeHash, mix, pieces
 
 GRAM = 16
+#: Names beside a table's own columns.
+OWN, CUT = "own_id__", ("cut_from__", "cut_to__")
 U32 = np.uint32
 _T32 = np.random.Generator(np.random.PCG64(99)).integers(1, 2**32, 256, dtype=np.uint32)
 
 
 @dataclass(frozen=True)
 class Suffixes:
-    """length: bytes of a repeat; sample: documents read for splitters; bucket: suffixes in a bucket; hot: see above."""
+    """length: bytes of a repeat; sample: documents read for splitters at least; ranges: splitters at most; bucket,
+    context_bucket: suffixes in a bucket of either phase; hot: see above; held: suffixes a task gathers before it
+    hands them on."""
 
     length: int = 100
     sample: int = 2000
+    ranges: int = 1024
     bucket: int = 400_000
     context_bucket: int = 40_000
     hot: int = 200_000
+    held: int = 400_000
     broadcast_ids: int = 1_000_000
 
+    @property
+    def before(self) -> int:
+        return self.length - GRAM
+
+    @property
+    def half(self) -> int:
+        """A string with at most so many bytes before the place holds the half that follows, any other the one before."""
+        return (self.length - GRAM) // 2
+
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     """f over every w consecutive values (len(x) - w + 1 of them)."""
@@ -98,19 +121,22 @@ def lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ranges:
-    """Sampled splitters over leads; grams (lead, hash) that the sample shows to be hot."""
+    """Splitters over leads, cut ``fan`` times by gram; keys of the grams (lead, hash) known to be hot."""
 
     splitters: np.ndarray
+    fan: int
     hot: np.ndarray
 
     @property
     def n(self) -> int:
-        return len(self.splitters) + 1
+        return (len(self.splitters) + 1) * self.fan
 
     def bucket(self, leads: np.ndarray, grams: np.ndarray) -> np.ndarray:
         lo = np.searchsorted(self.splitters, leads, side="left").astype(np.int64)
         hi = np.searchsorted(self.splitters, leads, side="right").astype(np.int64)
-        return lo + (mix(grams.astype(U64), 3) % (hi - lo + 1).astype(U64)).astype(np.int64)
+        spread = mix(grams.astype(U64), 3)
+        at = lo + (spread % (hi - lo + 1).astype(U64)).astype(np.int64)
+        return at * self.fan + (mix(spread, 4) % U64(self.fan)).astype(np.int64)
 
     def is_hot(self, keys: np.ndarray) -> np.ndarray:
         return np.isin(keys, self.hot)
@@ -121,170 +147,278 @@ def gram_key(leads: np.ndarray, grams: np.ndarray) -> np.ndarray:
         return mix(leads + mix(grams.astype(U64), 5), 6)
 
 
+#: Leads are unsigned; with the top bit turned they sort as signed numbers too.
+_TOP = U64(1 << 63)
+
+
+def _splitters(leads: DataFrame, n: int) -> np.ndarray:
+    """n - 1 quantiles of the column ``lead``, taken by the executors."""
+    if n < 2:
+        return np.zeros(0, U64)
+    cuts = F.percentile_approx("lead", F.array(*(F.lit(k / n) for k in range(1, n))), 20 * n)
+    got = leads.agg(cuts.alias("cuts")).first()["cuts"] or []
+    return np.sort(np.asarray(got, np.int64).view(U64) ^ _TOP)
+
+
 def _ranges(docs: DataFrame, n_docs: int, n_bytes: int, p: Suffixes) -> Ranges:
-    """From the picked suffixes of about ``sample`` documents, chosen by hash."""
-    share = min(1.0, p.sample / max(1, n_docs))
+    """From the picked suffixes of some documents, chosen by hash: ``sample`` or enough to see the hot grams."""
+    expected = 2 * n_bytes / (p.length - GRAM + 2)
+    hot = max(p.hot, expected / 50_000)
+    share = min(1.0, max(p.sample / max(1, n_docs), 100 / hot))
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 
     def run(batches):
         for batch in batches:
             for _, _, data, off in pieces(batch.column("text")):
                 at, _, gram = picked(data, off, p.length)
-                keep = np.arange(0, len(at), max(1, len(at) // 20_000))  # of texts in a slice, at most 20,000
-                leads = lead(data, at[keep])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leads.view(np.int64)), pa.array(gram_key(leads, gram[keep]).view(np.int64))], ["lead", "key"]
-                )
+                leads = lead(data, at)
+                yield pa.RecordBatch.from_arrays([pa.array((leads ^ _TOP).view(np.int64)), pa.array(gram_key(leads, gram).view(np.int64))], ["lead", "key"])
 
-    got = few.transform(arrow, run, "lead long, key long").toPandas()
-    leads, keys = np.sort(got["lead"].to_numpy().view(U64)), got["key"].to_numpy().view(U64)
-    n = max(1, math.ceil(2 * n_bytes / (p.length - GRAM + 2) / p.bucket))
-    cuts = leads[(np.arange(1, n) * len(leads)) // n] if len(leads) else leads
-    values, counts = np.unique(keys, return_counts=True)
-    return Ranges(cuts, values[(counts >= 20) & (counts / share > p.hot)])
+    got = written(few.transform(arrow, run, "lead long, key long"), "leads")
+    often = got.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") >= 20) & (F.col("c") / share > hot)).select("key").collect()
+    buckets = max(1, math.ceil(expected / p.bucket))
+    cuts = _splitters(got, min(p.ranges, buckets))
+    drop(got)
+    return Ranges(cuts, -(-buckets // (len(cuts) + 1)), np.array([r.key for r in often], np.int64).view(U64))
 
 
-_BLOB = "pid int, blob binary"
-_REC = np.dtype([("lead", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("gram", "<u4"), ("hot", "u1")])
+#: kind: 0 suffixes or bytes within reach, 1 hashes of strings, 2 ranges to remove.
+_BLOB = "pid int, kind int, blob binary"
+_REC = np.dtype([("lead", "<u8"), ("full", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("gram", "<u4"), ("right", "<u4"), ("left", "<u4"), ("nr", "u1"), ("hot", "u1")])
+_STRING = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("s", "<i4")])
+_RANGE = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
 
 
-def _emit(recs: list[np.ndarray], pids: list[np.ndarray], names: tuple[str, str] = ("pid", "blob")) -> pa.RecordBatch:
-    rec, pid = np.concatenate(recs), np.concatenate(pids)
+def _emit(kind: int, rec: np.ndarray, pid: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(pid, kind="stable")
     rec, pid = rec[order], pid[order]
     begin = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
     blobs = [x.tobytes() for x in np.split(rec, begin[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(pid[begin], pa.int32()), pa.array(blobs, pa.binary())], list(names))
+    return pa.RecordBatch.from_arrays([pa.array(pid[begin], pa.int32()), pa.array(np.full(len(begin), kind, np.int32)), pa.array(blobs, pa.binary())], ["pid", "kind", "blob"])
+
+
+def _emit_ranges(doc: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> pa.RecordBatch:
+    doc, a, b = _union(doc.astype(np.int64), a.astype(np.int64), b.astype(np.int64))
+    rec = np.zeros(len(doc), _RANGE)
+    rec["doc"], rec["a"], rec["b"] = doc, a, b
+    return _emit(2, rec, (mix(doc.view(U64), 7) % U64(n)).astype(np.int64))
 
 
-def _spread(r: Ranges, length: int):
+def _blobs(batches: Iterator[pa.RecordBatch], kinds: list[np.dtype]) -> Iterator[list[np.ndarray]]:
+    """The records of every bucket of a task, a list by kind."""
+    by_pid: dict[int, list[list[np.ndarray]]] = {}
+    for batch in batches:
+        for pid, kind, blob in zip(batch.column("pid").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            by_pid.setdefault(pid, [[] for _ in kinds])[kind].append(np.frombuffer(blob.as_buffer(), kinds[kind]))
+    while by_pid:
+        _, parts = by_pid.popitem()
+        yield [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds, strict=True)]
+
+
+def firsts(rec: np.ndarray, keys: tuple[str, ...], place: str) -> tuple[np.ndarray, np.ndarray]:
+    """(firsts, laters) of records that agree in ``keys``, by document and place; one of equal documents and places."""
+    rec = rec[np.lexsort((rec[place], rec["doc"], rec[keys[0]]))]
+    if not len(rec):
+        return rec, rec
+    new = np.ones(len(rec), bool)
+    new[1:] = np.logical_or.reduce([rec[k][1:] != rec[k][:-1] for k in keys])
+    head = rec[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = (rec["doc"] != head["doc"]) | (rec[place] != head[place])
+    return rec[new], rec[later]
+
+
+def _reach(rec: np.ndarray, p: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return rec["doc"], rec["pos"] - np.minimum(p.before, rec["pos"]), rec["pos"] + rec["nr"]
+
+
+_CLASS = ("full", "lead", "gram")
+
+
+def _spread(r: Ranges, p: Suffixes):
+    def out(recs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rec, later = firsts(np.concatenate(recs), _CLASS, "pos")
+        if len(later):
+            yield _emit_ranges(*_reach(later, p), r.n)
+        pid = r.bucket(rec["lead"], rec["gram"])
+        hot = np.flatnonzero(rec["hot"])
+        pid[hot] = (mix(rec["full"][hot], 8) % U64(r.n)).astype(np.int64)
+        yield _emit(0, rec, pid)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recs, pids, held = [], [], 0
+        recs, held = [], 0
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for a, _, data, off in pieces(batch.column("text")):
-                at, row, gram = picked(data, off, length)
+                at, row, gram = picked(data, off, p.length)
                 if not len(at):
                     continue
                 rec = np.zeros(len(at), _REC)
                 rec["lead"], rec["gram"] = lead(data, at), gram
                 rec["doc"], rec["pos"] = ids[row + a], at - off[row]
                 rec["hot"] = r.is_hot(gram_key(rec["lead"], gram))
-                pid = r.bucket(rec["lead"], gram)
-                pid = np.where(rec["hot"] == 1, rec["doc"] % r.n, pid)
+                nl, nr = np.minimum(p.before, at - off[row]), np.minimum(p.length, off[row + 1] - at)
+                rec["nr"] = nr
+                h = RangeHash(data)
+                rec["full"] = mix(h(at - nl, at + nr), 11) ^ mix((nl * 256 + nr).astype(U64), 12)
+                k = np.flatnonzero(nr >= p.length - p.half)
+                rec["right"][k] = (h(at[k], at[k] + p.length - p.half) >> U64(32)) | U64(1)
+                k = np.flatnonzero(nl > p.half)
+                rec["left"][k] = (h(at[k] - p.half - 1, at[k] + GRAM) >> U64(32)) | U64(1)
                 recs.append(rec)
-                pids.append(pid)
                 held += len(at)
-                if held > 1_000_000:
-                    yield _emit(recs, pids)
-                    recs, pids, held = [], [], 0
+                if held > p.held:
+                    yield from out(recs)
+                    recs, held = [], 0
         if held:
-            yield _emit(recs, pids)
+            yield from out(recs)
 
     return run
 
 
-_KEPT = "doc_id long, pos array<int>, wide array<boolean>, leads array<long>, each int"
+_KEPT = "doc_id long, pos array<int>, wide array<boolean>, a array<int>, b array<int>, leads array<long>"
+#: One lead in so many kept suffixes is handed on for the next splitters.
+_EACH = 64
 
 
-def _repeating(hot: int):
-    """Of a bucket's suffixes those whose gram repeats, by document; ``wide`` marks grams in more than ``hot`` places.
+def _shared(key: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Records whose gram and half another record has; half 0 is none."""
+    with np.errstate(over="ignore"):
+        _, at, count = np.unique(mix(key + half.astype(U64), 13), return_inverse=True, return_counts=True)
+    return (count[at] > 1) & (half > 0)
 
-    A bucket's first row has up to 64 of its leads, each for ``each`` suffixes, for the next splitters.
-    """
+
+def _repeating(p: Suffixes):
+    """Of a bucket's suffixes those that matter, by document (``wide`` marks grams in more than ``hot`` places), and
+    the ranges that are known to be removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_pid: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for pid, blob in zip(batch.column("pid").to_pylist(), batch.column("blob"), strict=True):
-                by_pid.setdefault(pid, []).append(np.frombuffer(blob.as_buffer(), _REC))
-        for parts in by_pid.values():
-            rec = np.concatenate(parts)
-            sure, rest = rec[rec["hot"] == 1], rec[rec["hot"] == 0]
-            order = np.lexsort((rest["gram"], rest["lead"]))
-            rest = rest[order]
-            new = np.ones(len(rest), bool)
-            new[1:] = (rest["lead"][1:] != rest["lead"][:-1]) | (rest["gram"][1:] != rest["gram"][:-1])
-            begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(rest)))
-            size = np.repeat(size, size)
-            keep = np.concatenate([sure, rest[size > 1]])
-            wide = np.concatenate([np.ones(len(sure), bool), size[size > 1] > hot])
-            if not len(keep):
+        for rec, _, gone in _blobs(batches, [_REC, _STRING, _RANGE]):
+            rec, later = firsts(rec, _CLASS, "pos")
+            doc, a, b = (np.concatenate(x) for x in zip(_reach(later, p), (gone["doc"], gone["a"], gone["b"]), strict=True))
+            if len(doc):
+                yield _kept_rows(spans=_union(doc.astype(np.int64), a.astype(np.int64), b.astype(np.int64)))
+            key = gram_key(rec["lead"], rec["gram"])
+            sure = rec["hot"] == 1
+            keep = sure | _shared(key, rec["right"]) | _shared(key, rec["left"])
+            rec, key, sure = rec[keep], key[keep], sure[keep]
+            if not len(rec):
                 continue
-            each = -(-len(keep) // 64)
-            leads = [np.sort(keep["lead"])[::each].view(np.int64)]
-            order = np.argsort(keep["doc"], kind="stable")
-            keep, wide = keep[order], wide[order]
-            begin = np.flatnonzero(np.concatenate([[True], keep["doc"][1:] != keep["doc"][:-1]]))
-            ends = pa.array(np.append(begin, len(keep)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keep["doc"][begin]),
-                    pa.ListArray.from_arrays(ends, pa.array(keep["pos"])),
-                    pa.ListArray.from_arrays(ends, pa.array(wide)),
-                    pa.array(leads + [[]] * (len(begin) - 1), pa.list_(pa.int64())),
-                    pa.array(np.full(len(begin), each), pa.int32()),
-                ],
-                ["doc_id", "pos", "wide", "leads", "each"],
-            )
+            _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+            yield _kept_rows(rec=rec, wide=sure | (count[at] > p.hot))
 
     return run
 
 
-def _next_ranges(kept: DataFrame, p: Suffixes) -> Ranges:
-    """Splitters for the kept suffixes, from the leads that the buckets of the first phase hand in (64 a bucket)."""
-    got = kept.where(F.size("leads") > 0).select("leads", "each").toPandas()
-    if not len(got):
-        return Ranges(np.zeros(0, U64), np.zeros(0, U64))
-    leads = np.concatenate([np.asarray(x, np.int64).view(U64) for x in got["leads"]])
-    weight = np.repeat(got["each"].to_numpy(np.int64), got["leads"].map(len).to_numpy())
-    order = np.argsort(leads)
-    leads, reach = leads[order], np.cumsum(weight[order])
-    n = max(1, math.ceil(reach[-1] / p.context_bucket))
-    return Ranges(leads[np.minimum(np.searchsorted(reach, np.arange(1, n) * (reach[-1] / n)), len(leads) - 1)], np.zeros(0, U64))
+def _kept_rows(rec: np.ndarray | None = None, wide: np.ndarray | None = None, spans=None) -> pa.RecordBatch:
+    none = np.zeros(0, np.int32)
+    pos, flags, a, b, leads = none, none.astype(bool), none, none, none.astype(np.int64)
+    if spans is None:
+        order = np.argsort(rec["doc"], kind="stable")
+        doc, pos, flags = rec["doc"][order], rec["pos"][order], wide[order]
+        leads = (np.sort(rec["lead"])[_EACH // 2 :: _EACH] ^ _TOP).view(np.int64)
+    else:
+        doc, a, b = spans
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    ends = np.append(begin, len(doc))
 
+    def lists(x: np.ndarray, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends if len(x) else np.zeros(len(ends)), pa.int32()), pa.array(x, kind))
 
-def _around(r: Ranges, length: int):
-    """The bytes around every kept suffix: ``length - GRAM`` before it, backward, and ``length`` from it on."""
-    before = length - GRAM
-    kind = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("gram", "<u4"), ("nl", "u1"), ("nr", "u1"), ("l", "u1", before), ("r", "u1", length)])
+    first = pa.array(np.minimum(np.arange(len(ends)), 1) * len(leads), pa.int32())  # all with the bucket's first row
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[begin], pa.int64()), lists(pos, pa.int32()), lists(flags, pa.bool_()), lists(a, pa.int32()), lists(b, pa.int32()),
+         pa.ListArray.from_arrays(first, pa.array(leads, pa.int64()))],
+        ["doc_id", "pos", "wide", "a", "b", "leads"],
+    )
+
+
+def _context_ranges(kept: DataFrame, p: Suffixes) -> Ranges:
+    """Splitters for what matters, from one lead in ``_EACH`` that the buckets of the first phase hand in."""
+    n = kept.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(n / p.context_bucket))
+    cuts = _splitters(kept.select(F.explode("leads").alias("lead")), min(p.ranges, buckets))
+    return Ranges(cuts, -(-buckets // (len(cuts) + 1)), np.zeros(0, U64))
+
+
+def context_kind(p: Suffixes) -> np.dtype:
+    return np.dtype([("doc", "<i8"), ("pos", "<i4"), ("gram", "<u4"), ("nl", "u1"), ("nr", "u1"), ("l", "u1", p.before), ("r", "u1", p.length)])
+
+
+def _contexts(data: np.ndarray, off: np.ndarray, ids: np.ndarray, row: np.ndarray, at: np.ndarray, r: Ranges, p: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(records, buckets) with the bytes around places: ``before`` before it, backward, and ``length`` from it on."""
+    rec = np.zeros(len(at), context_kind(p))
+    rec["doc"], rec["pos"] = ids[row], at - off[row]
+    rec["nl"], rec["nr"] = np.minimum(p.before, at - off[row]), np.minimum(p.length, off[row + 1] - at)
+    span = np.arange(p.length)
+    right = data[np.minimum(at[:, None] + span, len(data) - 1)]
+    right[span[None, :] >= rec["nr"][:, None]] = 0
+    left = data[np.maximum(at[:, None] - 1 - span[: p.before], 0)]
+    left[span[None, : p.before] >= rec["nl"][:, None]] = 0
+    rec["l"], rec["r"] = left, right
+    with np.errstate(over="ignore"):
+        gram = mix(lead(data, at) + mix(lead(data, at + 8), 8), 9)
+    rec["gram"] = (gram >> U64(32)).astype(U32)
+    return rec, r.bucket(lead(data, at), rec["gram"])
+
+
+def _strings(data: np.ndarray, off: np.ndarray, ids: np.ndarray, row: np.ndarray, at: np.ndarray, p: Suffixes) -> Iterator[np.ndarray]:
+    """Hashes of every string of ``length`` bytes through the places, each once."""
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, np.maximum(at - p.before, off[row]), 1)
+    np.add.at(edge, np.maximum(np.minimum(at, off[row + 1] - p.length) + 1, np.maximum(at - p.before, off[row])), -1)
+    starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    h, g = RangeHash(data), RangeHash(data, 1)
+    for i in range(0, len(starts), 200_000):
+        s = starts[i : i + 200_000]
+        of = np.searchsorted(off, s, side="right") - 1
+        rec = np.zeros(len(s), _STRING)
+        rec["h"], rec["g"], rec["doc"], rec["s"] = h(s, s + p.length), g(s, s + p.length), ids[of], s - off[of]
+        yield rec
+
+
+def _around(r: Ranges, p: Suffixes):
+    """What matters of every text: bytes within reach of ordinary places, hashes of strings through wide ones."""
+
+    def strings(recs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rec, later = firsts(np.concatenate(recs), ("h", "g"), "s")
+        if len(later):
+            yield _emit_ranges(later["doc"], later["s"], later["s"] + p.length, r.n)
+        yield _emit(1, rec, (mix(rec["h"], 10) % U64(r.n)).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recs, pids, held = [], [], 0
+        wides, n_wide = [], 0
         for batch in batches:
-            lists, wides = batch.column("pos"), batch.column("wide")
-            flat, narrow = np.asarray(lists.flatten()), ~np.asarray(wides.flatten().to_numpy(zero_copy_only=False), bool)
+            lists, flags = batch.column("pos"), batch.column("wide")
+            flat, wide = np.asarray(lists.flatten()), np.asarray(flags.flatten().to_numpy(zero_copy_only=False), bool)
             ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             ids = np.asarray(batch.column("doc_id"))
             for a, b, data, off in pieces(batch.column("text")):
-                pos, ok = flat[ends[a] : ends[b]].astype(np.int64), narrow[ends[a] : ends[b]]
-                row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))[ok]
-                at = pos[ok] + off[row]
+                pos, w = flat[ends[a] : ends[b]].astype(np.int64), wide[ends[a] : ends[b]]
+                row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                at, own = pos + off[row], ids[a:b]
                 for i in range(0, len(at), 20_000):
-                    x, w = at[i : i + 20_000], row[i : i + 20_000]
-                    rec = np.zeros(len(x), kind)
-                    rec["doc"], rec["pos"] = ids[w + a], x - off[w]
-                    rec["nl"], rec["nr"] = np.minimum(before, x - off[w]), np.minimum(length, off[w + 1] - x)
-                    span = np.arange(length)
-                    right = data[np.minimum(x[:, None] + span, len(data) - 1)]
-                    right[span[None, :] >= rec["nr"][:, None]] = 0
-                    left = data[np.maximum(x[:, None] - 1 - span[:before], 0)]
-                    left[span[None, :before] >= rec["nl"][:, None]] = 0
-                    rec["l"], rec["r"] = left, right
-                    with np.errstate(over="ignore"):
-                        gram = mix(lead(data, x) + mix(lead(data, x + 8), 8), 9)
-                    rec["gram"] = (gram >> U64(32)).astype(U32)
+                    k = np.arange(i, min(i + 20_000, len(at)))[~w[i : i + 20_000]]
+                    rec, pid = _contexts(data, off, own, row[k], at[k], r, p)
                     recs.append(rec)
-                    pids.append(r.bucket(lead(data, x), rec["gram"]))
-                    held += len(x)
-                    if held > 100_000:
-                        yield _emit(recs, pids)
+                    pids.append(pid)
+                    held += len(k)
+                    if held > 60_000:
+                        yield _emit(0, np.concatenate(recs), np.concatenate(pids))
                         recs, pids, held = [], [], 0
+                if w.any():
+                    for rec in _strings(data, off, own, row[w], at[w], p):
+                        wides.append(rec)
+                        n_wide += len(rec)
+                        if n_wide > p.held:
+                            yield from strings(wides)
+                            wides, n_wide = [], 0
         if held:
-            yield _emit(recs, pids)
+            yield _emit(0, np.concatenate(recs), np.concatenate(pids))
+        if n_wide:
+            yield from strings(wides)
 
-    return run, kind
+    return run
 
 
 def multikey_order(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,24 +489,24 @@ def repeated_ranges(doc, pos, left, nl, right, nr, length: int) -> tuple[np.ndar
     return doc[x], pos[x] - most[x], pos[x] - least[x] + length
 
 
-def _bucketed(kind: np.dtype, length: int, limit: int):
+def _bucketed(p: Suffixes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_pid: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for pid, blob in zip(batch.column("pid").to_pylist(), batch.column("blob"), strict=True):
-                by_pid.setdefault(pid, []).append(np.frombuffer(blob.as_buffer(), kind))
-        for parts in by_pid.values():
-            rec = np.concatenate(parts)
+        for rec, strings, gone in _blobs(batches, [context_kind(p), _STRING, _RANGE]):
+            if len(gone):
+                yield _span_rows(gone["doc"].astype(np.int64), gone["a"].astype(np.int64), gone["b"].astype(np.int64))
+            _, later = firsts(strings, ("h", "g"), "s")
+            if len(later):
+                yield _span_rows(later["doc"].astype(np.int64), later["s"].astype(np.int64), later["s"].astype(np.int64) + p.length)
             values, counts = np.unique(rec["gram"], return_counts=True)
             rec = rec[np.isin(rec["gram"], values[counts > 1])]
             # grams are independent: a bucket that came out large is sorted in several turns
             turn = np.searchsorted(values, rec["gram"])
             cum = np.cumsum(counts)
-            turn = (cum[turn] - 1) // limit if len(rec) else turn
+            turn = (cum[turn] - 1) // p.context_bucket if len(rec) else turn
             for t in np.unique(turn):
                 x = rec[turn == t]
                 who, a, b = repeated_ranges(
-                    x["doc"].astype(np.int64), x["pos"].astype(np.int64), x["l"], x["nl"], x["r"], x["nr"], length
+                    x["doc"].astype(np.int64), x["pos"].astype(np.int64), x["l"], x["nl"], x["r"], x["nr"], p.length
                 )
                 if len(who):
                     yield _span_rows(who, a, b)
@@ -406,38 +540,12 @@ def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[begin], a[begin], (reach - lift)[end]
 
 
-def _wide(joined: DataFrame, length: int) -> DataFrame:
-    """The hot way: every string around a wide place by its hash, the first of equal ones stays."""
-    before = length - GRAM
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, text, pos, wide in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "pos", "wide")), strict=True):
-                raw = text.encode()
-                starts = sorted({s for x, w in zip(pos, wide, strict=True) if w for s in range(max(0, x - before), min(x, len(raw) - length) + 1)})
-                for i in range(0, len(starts), 50_000):
-                    part = starts[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([d] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array([raw[s : s + length] for s in part], pa.binary())],
-                        ["doc_id", "s", "w"],
-                    )
-
-    rows = joined.where(F.exists("wide", lambda x: x)).transform(arrow, windows, "doc_id long, s int, w binary")
-    rows = written(rows.select("doc_id", "s", F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("g")).distinct(), "windows")
-    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "s")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    return (
-        rows.join(first, ["h", "g"])
-        .where((F.col("doc_id") != F.col("m.doc_id")) | (F.col("s") != F.col("m.s")))
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list("s")).alias("a"))
-        .select("doc_id", "a", F.transform("a", lambda s: s + length).alias("b"))
-    )
-
-
 @dataclass
 class Found:
-    """copies: doc_id of later copies of whole texts; spans: doc_id, a, b (arrays of int: bytes [a, b) to remove)."""
+    """docs: the table with OWN; copies: doc_id of later copies of whole texts; spans: doc_id, a, b (arrays of int:
+    bytes [a, b) to remove)."""
 
+    docs: DataFrame
     copies: DataFrame
     spans: DataFrame
     copies_small: bool
@@ -449,61 +557,68 @@ def _small(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _keyed(docs: DataFrame, p: Suffixes) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the number OWN of its document (null: no part in this) and the heads (doc_id, h, g, n) of documents."""
+    text = text_or_empty()
+    h, g = F.xxhash64(text), F.xxhash64(text, F.lit(1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), g.alias("g"), F.octet_length(text).alias("n")).where("doc_id IS NOT NULL")
+    heads = written(rows.where(F.col("n") >= p.length).distinct(), "heads")
+    several = written(heads.groupBy("doc_id").agg(F.min(F.struct("h", "g")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
+    own = F.col("doc_id").cast("long")
+    if several.isEmpty():
+        return docs.withColumn(OWN, own), heads
+    heads = heads.join(several, "doc_id", "left").where("m IS NULL OR (h = m.h AND g = m.g)").select("doc_id", "h", "g", "n")
+    chosen = several.select(F.col("doc_id").alias(OWN), F.col("m").alias(CUT[0]))
+    marked = docs.join(_small(chosen, several.count() <= p.broadcast_ids), own == F.col(OWN), "left")
+    it = F.when(F.col(CUT[0]).isNull() | ((F.col(CUT[0]).getField("h") == h) & (F.col(CUT[0]).getField("g") == g)), own)
+    return marked.withColumn(OWN, it).drop(CUT[0]), written(heads, "heads")
+
+
 def find_repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> Found:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    heads = written(
-        docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g"), F.octet_length("text").alias("n"))
-        .where(F.col("n") >= p.length).distinct(),
-        "heads",
-    )
-    firsts = heads.groupBy("h", "g", "n").agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    copies = written(heads.join(firsts, ["h", "g", "n"]).where("doc_id <> m").select("doc_id"), "copies")
+    keyed, heads = _keyed(docs, p)
+    firsts_ = heads.groupBy("h", "g", "n").agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    copies = written(heads.join(firsts_, ["h", "g", "n"]).where("doc_id <> m").select("doc_id"), "copies")
     n_copies = copies.count()
     n_docs, n_bytes = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    drop(heads)
     copies_small = n_copies <= p.broadcast_ids
-    own = docs.where(F.octet_length("text") >= p.length).join(_small(copies, copies_small), "doc_id", "left_anti")
+    own = keyed.where(F.col(OWN).isNotNull()).select(F.col(OWN).alias("doc_id"), text_or_empty().alias("text"))
+    own = own.where(F.octet_length("text") >= p.length).join(_small(copies, copies_small), "doc_id", "left_anti")
     r = _ranges(own, n_docs, n_bytes, p)
     kept = written(
-        own.transform(arrow, _spread(r, p.length), _BLOB)
+        own.transform(arrow, _spread(r, p), _BLOB)
         .repartitionById(r.n, F.col("pid"))
-        .transform(arrow, _repeating(p.hot), _KEPT),
+        .transform(arrow, _repeating(p), _KEPT),
         "kept",
     )
     release(spark)
-    again = _next_ranges(kept, p)
-    by_doc = kept.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"), F.flatten(F.collect_list("wide")).alias("wide"))
+    again = _context_ranges(kept, p)
+    by_doc = kept.where(F.size("pos") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"), F.flatten(F.collect_list("wide")).alias("wide"))
     by_doc = written(by_doc, "places")
-    drop(kept)
     n_ids = by_doc.count()
     some = own.join(_small(by_doc.select("doc_id"), n_ids <= p.broadcast_ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    joined = some.join(by_doc, "doc_id")
-    around, kind = _around(again, p.length)
-    spans = (
-        joined.transform(arrow, around, _BLOB)
+    near = (
+        some.join(by_doc, "doc_id")
+        .transform(arrow, _around(again, p), _BLOB)
         .repartitionById(again.n, F.col("pid"))
-        .transform(arrow, _bucketed(kind, p.length, p.context_bucket), "doc_id long, a array<int>, b array<int>")
+        .transform(arrow, _bucketed(p), "doc_id long, a array<int>, b array<int>")
     )
-    any_wide = not by_doc.where(F.exists("wide", lambda x: x)).isEmpty()
-    if any_wide:
-        spans = spans.unionByName(_wide(joined, p.length))
+    spans = kept.where(F.size("a") > 0).select("doc_id", "a", "b").unionByName(near)
     spans = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
     spans = written(spans, "spans")
     drop(by_doc)
+    drop(kept)
     release(spark)
-    return Found(copies, spans, copies_small, spans.count() <= p.broadcast_ids)
-
-
-#: Names beside a table's own columns.
-CUT = ("cut_from__", "cut_to__")
+    return Found(keyed, copies, spans, copies_small, spans.count() <= p.broadcast_ids)
 
 
-def _split(docs: DataFrame, found: Found) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents that are later copies, that have ranges to remove (with them), and the others."""
-    copies, ids = _small(found.copies, found.copies_small), _small(found.spans.select("doc_id"), found.spans_small)
-    spans = found.spans.select("doc_id", F.col("a").alias(CUT[0]), F.col("b").alias(CUT[1]))
-    own = docs.join(copies, "doc_id", "left_anti")
-    return docs.join(copies, "doc_id", "left_semi"), own.join(ids, "doc_id", "left_semi").join(spans, "doc_id"), own.join(ids, "doc_id", "left_anti")
+def _split(found: Found) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that are later copies, that have ranges to remove (with them), and the others."""
+    copies, ids = _small(found.copies.toDF(OWN), found.copies_small), _small(found.spans.select(F.col("doc_id").alias(OWN)), found.spans_small)
+    spans = found.spans.select(F.col("doc_id").alias(OWN), F.col("a").alias(CUT[0]), F.col("b").alias(CUT[1]))
+    own = found.docs.join(copies, OWN, "left_anti")
+    return found.docs.join(copies, OWN, "left_semi"), own.join(ids, OWN, "left_semi").join(spans, OWN), own.join(ids, OWN, "left_anti")
 
 
 def ranges_of(a, b) -> tuple[np.ndarray, np.ndarray]:
@@ -517,7 +632,7 @@ def repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> DataFrame:
     import hashlib
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    copies, cut, rest = _split(docs, find_repeats(docs, p))
+    copies, cut, rest = _split(find_repeats(docs, p))
     zero, size = F.lit(0).cast("long"), F.octet_length("text").cast("long")
     empty = hashlib.sha256(b"").hexdigest()
 
@@ -551,7 +666,7 @@ def without_repeats(docs: DataFrame, p: Suffixes = Suffixes()) -> DataFrame:
 
     What is left of a character cut in half is dropped with it.
     """
-    copies, cut, rest = _split(docs, find_repeats(docs, p))
+    copies, cut, rest = _split(find_repeats(docs, p))
 
     @F.pandas_udf("string")
     def kept(text, a, b):

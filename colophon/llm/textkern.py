@@ -100,6 +100,22 @@ def pieces(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         a = b
 
 
+class RangeHash:
+    """64-bit hashes of byte ranges of one slice, from prefix sums; ``salt`` 0 or 1 gives independent ones."""
+
+    def __init__(self, data: np.ndarray, salt: int = 0):
+        n = len(data)
+        up, self.down = _Powers.get(n + 1)
+        codes = mix(BYTE_CODES, 700 + salt) | U64(1) if salt else BYTE_CODES
+        self.sums = np.zeros(n + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum(codes[data] * up[:n], dtype=U64, out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * self.down[start], salt)
+
+
 class Words:
     """The words of one slice: ``start``, ``end`` (bytes), ``row`` (local), ``first`` (n + 1 word offsets)."""
 
@@ -123,20 +139,11 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def sums(self) -> np.ndarray:
-        if not hasattr(self, "_sums"):
-            up, _ = _Powers.get(self.n + 1)
-            with np.errstate(over="ignore"):
-                self._sums = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE_CODES[self.data] * up[: self.n], dtype=U64)])
-        return self._sums
-
     def hash(self, start: np.ndarray | None = None, end: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
         """64-bit hashes of byte ranges, of the words unless told otherwise."""
-        start, end = self.start if start is None else start, self.end if end is None else end
-        s = self.sums()
-        _, down = _Powers.get(self.n + 1)
-        with np.errstate(over="ignore"):
-            return mix((s[end] - s[start]) * down[start], salt)
+        if not hasattr(self, "_ranges"):
+            self._ranges = RangeHash(self.data)
+        return self._ranges(self.start if start is None else start, self.end if end is None else end, salt)
 
 
 def hash_words(texts: list[str], letters: np.ndarray) -> list[np.ndarray]:
