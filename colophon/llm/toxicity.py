@@ -1,22 +1,24 @@
 """Toxicity by weak supervision.
 
-Voters: lexicon entries (whole words and word beginnings of 4, 5, 6 and 7 bytes, case folded) and patterns (shouting,
-exclamation marks, masked letters, words spelled with digits or gaps).  Lexicon entries are mined from labelled rows
-by a likelihood-ratio test with a bound on the expected number of chance entries, and of entries that fire on nearly
-the same texts one is kept (greedy cover).  A voter fires or abstains.
-
-Label model: a generative model with one hidden label; EM estimates the class prior and each voter's firing rate
-under either label (its accuracy), and the correlations of voters given the label.  Voters that correlate share
-their evidence: a voter's weight is one over one plus the sum of its positive correlations.  The given labels of the
-sample are one more voter of known accuracy.
-
-Classifier: logistic regression over the same indicators, trained on the posterior labels and calibrated on the
-given ones.  Scoring looks every word of the whole text up in the entries and adds weights.
-
-The fit reads at most about ``positives`` + ``negatives`` labelled texts, drawn by hash.  Defined results: null and
-empty texts have no voter firing and get the score of that; without any positive or negative training row every
-score is the share of positives (0 if there is no row); labels that are null are ignored, of repeated ones the
-largest counts; repeated rows are scored each; extra columns are ignored.
+Voters: lexicon entries (whole words and word beginnings of 4, 5, 6 and 7 bytes, case folded) for either side, and
+patterns (shouting, exclamation marks, masked letters, words spelled with digits or gaps).  Lexicon entries are mined
+from labelled rows by a likelihood-ratio test with a bound on the expected number of chance entries; the ``entries``
+strongest are kept (a bound of the model's size), and of entries that fire on nearly the same texts one becomes a
+voter (greedy cover, ``voters`` at most for a side).  A voter fires or abstains; its side is what its accuracy says.
+
+Label model: a generative model with one hidden label.  The labelled rows give each voter's firing rate under either
+label (its accuracy) as counts; EM adds to them what the unlabelled texts say, and estimates the correlations of
+voters given the label.  Voters that correlate share their evidence: a voter's weight is one over one plus the sum of
+its positive correlations.  The posterior of a text, labelled or not, comes from its votes alone.
+
+Classifier: logistic regression over all entries and patterns, trained on the posteriors of labelled and unlabelled
+texts; the given labels calibrate its scores (scale, shift and the patterns).  Scoring looks every word of the whole text up in the entries and adds
+weights.
+
+The fit reads at most about ``positives`` + ``negatives`` labelled and ``unlabelled`` other texts, drawn by hash, none
+of them held out.  Defined results: null and empty texts have no voter firing and get the score of that; without any
+positive or negative training row every score is the share of positives (0 if there is no row); labels that are null
+are ignored, of repeated ones the largest counts; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +140,7 @@ def cover(on: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     first.  A column that fires on nearly the same texts as one already taken adds nothing and is passed over."""
     pos, neg = on[y == 1].astype(np.float32), on[y == 0].astype(np.float32)
     wanted, out = np.ones(len(pos), np.float32), []
-    cost = 4 * neg.sum(axis=0)
+    cost = 4 * neg.sum(axis=0) * min(1.0, len(pos) / max(1, len(neg)))
     size = pos.sum(axis=0) + neg.sum(axis=0)
     usable = np.ones(on.shape[1], bool)
     while len(out) < most and usable.any():
@@ -153,53 +155,80 @@ def cover(on: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def label_model(votes: np.ndarray, prior: float, given: np.ndarray, trust: float = 0.97, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the hidden label, firing rates (2 x voters) and correlations given the label, by EM.
+def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int = 25, share: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the hidden label from the votes alone, firing rates (2 x voters) and correlations given the label.
 
-    The given labels are one more voter, of known accuracy ``trust``: without it the label could settle on any
-    group of texts whose voters go together, such as one language's.
+    An unlabelled text counts ``share`` of a labelled one when accuracies are estimated, so that many of them cannot
+    carry the label away.  ``given`` is 1 or 0 where a label is known and -1 elsewhere.  Known labels enter only as counts of the voters'
+    firing (their accuracies); the posterior of a text never sees its own or any other label.
     """
-    n, m = votes.shape
-    v = votes.astype(np.float64)
-    post, weight, corr = np.where(given == 1, trust, 1 - trust), np.ones(m), np.eye(m)
-    anchor = np.log(trust / (1 - trust)) * (2 * given - 1)
+    m = votes.shape[1]
+    known, v, free = given >= 0, votes.astype(np.float32), votes[given < 0].astype(np.float32)
+    fired = np.stack([v[given == y].sum(axis=0) for y in (0, 1)]).astype(np.float64)
+    seen = np.array([(given == y).sum() for y in (0, 1)], np.float64)
+    weight, corr = np.ones(m), np.zeros((m, m))
+    for y in (0, 1):
+        d = v[given == y] - fired[y] / max(1.0, seen[y])
+        c = (d.T @ d).astype(np.float64) / max(1.0, seen[y])
+        s = np.sqrt(np.diag(c)) + 1e-9
+        corr += seen[y] / max(1, known.sum()) * c / s[:, None] / s[None, :]
+    np.fill_diagonal(corr, 0)
+    weight = 1 / (1 + np.clip(corr, 0, None).sum(axis=1))
+    post = np.zeros(len(free))
     rates = np.zeros((2, m))
+    every = v.mean(axis=0)
     for turn in range(rounds):
-        for y, p in ((1, post), (0, 1 - post)):
-            rates[y] = (p @ v + 0.5 * v.mean(axis=0) + 0.01) / (p.sum() + 0.5 + 0.02)
-        if turn in (3, 10):  # what voters share beyond the label
-            corr = np.zeros((m, m))
-            for y, p in ((1, post), (0, 1 - post)):
-                d = (v - rates[y]) * np.sqrt(p)[:, None]
-                c = d.T @ d / max(1.0, p.sum())
-                s = np.sqrt(np.diag(c)) + 1e-9
-                corr += p.mean() * c / s[:, None] / s[None, :]
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.clip(corr, 0, None).sum(axis=1))
+        for y, p in ((0, 1 - post), (1, post)):
+            told = (fired[y], seen[y]) if not turn else (fired[y] + share * (p @ free), seen[y] + share * p.sum())
+            rates[y] = (told[0] + 0.5 * every + 0.01) / (told[1] + 0.5 + 0.02)
         fire, rest = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        z = anchor + np.log(prior / (1 - prior)) + v @ (weight * fire) + (1 - v) @ (weight * rest)
-        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return post, rates, corr
+        base = np.log(prior / (1 - prior)) + (weight * rest).sum()
+        post = 1 / (1 + np.exp(-np.clip(base + free @ (weight * (fire - rest)), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(base + v @ (weight * (fire - rest)), -30, 30))), rates, corr
 
 
-def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression on soft targets, by accelerated gradient descent."""
+def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression on soft targets, by Newton steps that are halved until the loss falls."""
     n, m = x.shape
-    w, b = np.zeros(m), 0.0
-    seen_w, seen_b = w, b
-    lipschitz = 0.25 * weight.sum() * max(1.0, np.square(x).sum(axis=1).max(initial=0) + 1) + ridge
-    rate = 4 / lipschitz
-    for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ seen_w + seen_b, -30, 30)))
-        g = weight * (p - target)
-        nw, nb = seen_w - rate * (x.T @ g + ridge * seen_w), seen_b - rate * g.sum()
-        pull = k / (k + 3)
-        seen_w, seen_b = nw + pull * (nw - w), nb + pull * (nb - b)
-        w, b = nw, nb
-    return w, b
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000, entries: int = 2048, voters: int = 256, seed: int = 3) -> ToxicityModel:
+    x = np.concatenate([x, np.ones((n, 1), x.dtype)], axis=1)
+    pull = np.append(np.full(m, ridge), 1e-6)
+    w = np.zeros(m + 1)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * (pull * w * w).sum())
+
+    best = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - target)) + pull * w
+        bend = (x * (weight * p * (1 - p))[:, None].astype(x.dtype)).T @ x
+        move = np.linalg.solve(bend.astype(np.float64) + np.diag(pull + 1e-9), slope)
+        while True:
+            now = loss(w - move)
+            if now <= best or np.abs(move).max() < 1e-9:
+                break
+            move = move / 2
+        done = best - now < 1e-9 * max(1.0, abs(best))
+        w, best = w - move, now
+        if done:
+            break
+    return w[:m], float(w[m])
+
+
+def _unlabelled(docs: DataFrame, labels: DataFrame, quota: int, seed: int) -> DataFrame:
+    """About ``quota`` texts without a label that are not held out (y = -1), by a hash of doc_id."""
+    free = docs.select("doc_id", "text").where(~held_out() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    share = min(1.0, quota / max(1, free.count()))
+    few = free.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    mine = F.broadcast(few.select("doc_id").distinct())  # about ``quota`` ids
+    known = labels.where("toxic IS NOT NULL").select("doc_id").join(mine, "doc_id", "left_semi").distinct()
+    return few.join(F.broadcast(known), "doc_id", "left_anti").select("doc_id", "text", F.lit(-1).alias("y"))
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000, unlabelled: int = 4000, entries: int = 1024, voters: int = 128, seed: int = 3
+) -> ToxicityModel:
     """Learns from rows of ``labels`` (doc_id, toxic) that are not held out."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
@@ -208,10 +237,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, nega
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         return ToxicityModel(none, np.zeros(len(PATTERNS)), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     few = sampled(known, "y", positives, seed, {1: counts[1]})[0].unionByName(sampled(known, "y", negatives, seed, {0: counts[0]})[0])
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL"), "labelled")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL")
+    rows = written(labelled.unionByName(_unlabelled(docs, labels, unlabelled, seed)), "sample")
     n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     pos, neg = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    got = rows.transform(arrow, _mined, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    got = rows.where("y >= 0").transform(arrow, _mined, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     a, b = F.col("pos") + 0.0, F.col("neg") + 0.0
     df, total = a + b, float(pos + neg)
 
@@ -223,7 +253,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, nega
         + term(pos - a, (total - df) * (pos / total)) + term(neg - b, (total - df) * (neg / total))
     )
     # 30: about 4e-8 a test, so some hundred thousand entries give none by chance
-    picked = got.where((a / pos > 3 * b / neg) & (g2 > 30)).select("h", g2.alias("g")).orderBy(F.desc("g"), "h").limit(entries).toPandas()
+    sided = (a / pos > 3 * b / neg) | (b / neg > 3 * a / pos)
+    picked = got.where(sided & (g2 > 30)).select("h", g2.alias("g")).orderBy(F.desc("g"), "h").limit(entries).toPandas()
     lexicon = np.sort(picked["h"].to_numpy(np.int64).view(U64)) if len(picked) else none
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,22 +271,39 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, nega
                     ["doc_id", "y", "e", "p"],
                 )
 
-    sample = rows.transform(arrow, seen, "doc_id long, y int, e array<int>, p array<int>").toPandas().sort_values("doc_id")
+    sample = rows.transform(arrow, seen, "doc_id long, y int, e array<int>, p array<int>").toPandas()
+    sample["n"] = sample["e"].map(len)
+    sample = sample.sort_values(["doc_id", "y", "n"], kind="stable")
     x = np.zeros((len(sample), len(lexicon) + len(PATTERNS)), bool)
     for i, (e, p) in enumerate(zip(sample["e"], sample["p"], strict=True)):
         x[i, e] = True
         x[i, np.asarray(p, int) + len(lexicon)] = True
-    y = sample["y"].to_numpy()
-    some = np.sort(cover(x[:, : len(lexicon)], y, voters))
-    x = np.concatenate([x[:, some], x[:, len(lexicon) :]], axis=1)
-    lexicon = lexicon[some]
-    prior = float(np.clip(y.mean(), 0.01, 0.99))
-    post, rates, corr = label_model(x, prior, y)
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    w, b = logistic(x.astype(np.float64), post, balance)
-    z = x @ w + b
-    scale, shift = logistic(z[:, None] / 4, y.astype(np.float64), balance, ridge=1e-3, steps=2000)
-    return ToxicityModel(lexicon, w * scale[0] / 4, float(b * scale[0] / 4 + shift), rates, corr)
+    return trained(x, sample["y"].to_numpy(), lexicon, voters)
+
+
+def voter_columns(x: np.ndarray, y: np.ndarray, n_entries: int, most: int) -> np.ndarray:
+    """Columns that vote: entries covering the toxic and the other labelled texts, and all patterns."""
+    bad = cover(x[:, :n_entries], y, most)
+    good = cover(x[:, :n_entries], np.where(y >= 0, 1 - y, y), most)
+    return np.concatenate([np.unique(np.concatenate([bad, good])), np.arange(n_entries, x.shape[1])]).astype(np.int64)
+
+
+def trained(x: np.ndarray, y: np.ndarray, lexicon: np.ndarray, voters: int) -> ToxicityModel:
+    """The model from indicators (texts x entries and patterns) and labels (-1: none)."""
+    given = y >= 0
+    prior = float(np.clip(y[given].mean(), 0.01, 0.99)) if given.any() else 0.5
+    votes = x[:, voter_columns(x, y, len(lexicon), voters)]
+    post, rates, corr = label_model(votes, y, prior)
+    # either label has half the weight, so that a score of one half means no evidence
+    balance = np.where(post >= 0.5, 0.5 / max(1, (post >= 0.5).sum()), 0.5 / max(1, (post < 0.5).sum())) * len(y)
+    w, b = logistic(x.astype(np.float32), post, balance)
+    z, t = (x.astype(np.float32) @ w + b)[given], y[given]
+    balance = np.where(t == 1, 0.5 / max(1, (t == 1).sum()), 0.5 / max(1, (t == 0).sum())) * len(t)
+    # the given labels set scale and shift, and what the few patterns say that words do not
+    more, shift = logistic(np.column_stack([z / 4, x[given][:, len(lexicon) :]]), t.astype(np.float64), balance)
+    w, b = w * more[0] / 4, b * more[0] / 4 + shift
+    w[len(lexicon) :] += more[1:]
+    return ToxicityModel(lexicon, w, float(b), rates, corr)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
