@@ -3,35 +3,47 @@
 Targets: sources in code-point order (null last) weigh ``weights`` in turn and share the sum of all sizes; a target
 above ``most`` times its source stops there and the excess is shared again by weight.
 
-Selection: a source is taken whole floor(target / size) times; the rest of its target is filled by permuted blocks.
-Blocks are put in order by hash; those that fit are taken, and the one that straddles the rest is split into
-smaller blocks again, level by level, until at most a few thousand documents are left, which are packed one by one.
-So no step orders or gathers a source, however large.
-
-Splitting: every source has a number of units (block, copy).  A binary tree over the output shards splits the vector
-of unit counts exactly: the left half of the shards draws its capacity from the counts without replacement (a
-multivariate hypergeometric draw), the right half keeps the rest, down to single shards.  A source's permuted units
-are then dealt in order by these quotas, so shards hold disjoint blocks; rows are shuffled inside a shard by hash.
-
-Driver memory: one row and ``16 * shards * (most + 1)`` small numbers a source.  Defined results: null texts have
-size 0; sources of size 0 have target 0; repeated rows count each; documents without words take part with size 0; an
-empty table gives an empty result; extra columns are ignored.
+Quotas: a source's documents are dealt into BLOCKS blocks by hash, and its blocks are permuted.  Its quota is a number
+of draws from that permutation, round after round: as many as fit its target in words, and a few more, the window,
+that are drawn in part.  The window is the blocks from the first one that no longer fits on, as many as hold ``few``
+documents (if the permutation ends before, those ahead of it are taken in); where it holds more than ``pack``, its
+documents are dealt into blocks again, level by level.  Of the last window's documents those are drawn whose sum is
+nearest to what the target still lacks: in permuted order whatever fits, and of the EXACT smallest the best subset of
+all, with one more document if that is nearer.  The rule is one for all sizes; the distance to the target is at most
+half the largest of those smallest documents, or where they cannot reach, less than the smallest document left out.
+
+Splitting: a binary tree over the output shards splits the vector of quotas exactly: the left half of the shards draws
+its capacity from the quotas without replacement (a multivariate hypergeometric draw), the right half keeps the rest,
+down to single shards.  Every shard then draws its numbers of blocks from each source's permutation where the shard
+before it stopped, so shards hold disjoint draws.  What a document gives is what the shards have drawn of it:
+``taken`` is its size times the draws that hold it.  Rows are shuffled inside a shard by hash.
+
+The plan is a few small arrays a source (sources are taken to be a dimension of configuration size: BLOCKS numbers a
+source and level pass through the driver) and the window's documents; rows find their draws by one broadcast join, and
+texts move once, to their shards.
+
+Defined results: null texts have size 0; sources of size 0 have target 0 and give nothing; rows that repeat a doc_id
+in a source share its draws and count each; documents without words take part with size 0; null ids and sources are
+values like others; an empty table gives an empty result; extra columns are ignored by ``mixture`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import text_or_empty, written
 
+BLOCKS = 256
+#: Documents that are tried in all combinations.
+EXACT = 20
+_LEVELS = 8
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -39,6 +51,7 @@ class Mix:
     most: int = 3
     shards: int = 16
     seed: int = 11
+    few: int = 64
     pack: int = 5000
 
 
@@ -83,147 +96,217 @@ def split_quotas(units: np.ndarray, shards: int, rng: np.random.Generator) -> np
     return out
 
 
-def nearest_subset(sizes: list[int], rest: float) -> list[bool]:
-    """The subset whose sum is nearest to ``rest``, by the bits of all reachable sums."""
-    reach = [1]
-    for x in sizes:
-        reach.append(reach[-1] | reach[-1] << x)
-    last, low, high = reach[-1], int(rest), int(rest) + 1
-    while low >= 0 and not last >> low & 1:
-        low -= 1
-    top = last.bit_length()
-    while high < top and not last >> high & 1:
-        high += 1
-    at = high if high < top and high - rest < rest - low else low
-    out = []
-    for x, before in zip(reversed(sizes), reversed(reach[:-1]), strict=True):
-        out.append(not before >> at & 1)
-        at -= x if out[-1] else 0
-    return out[::-1]
-
-
-def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's last block the rows that fill ``rest``: in permuted order whatever still fits, then
-    single additions and exchanges that come nearer; of a few rows the best choice of all."""
-    pdf = pdf.sort_values(["u", "doc_id", "size"], kind="stable")
-    rest, taken, sizes = float(pdf["rest"].iloc[0]), 0, pdf["size"].to_numpy()
-    chosen = np.zeros(len(pdf), bool)
-    for i, s in enumerate(sizes):
-        if s and taken + s <= rest:
+def nearest_subset(sizes: np.ndarray, rest: float) -> np.ndarray:
+    """The subset whose sum is nearest to ``rest`` (the smaller sum of two as near), among all: sums of either half of
+    the sizes meet in the middle."""
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(1, np.int64)
+        for v in x:
+            out = np.concatenate([out, out + v])
+        return out
+
+    half = len(sizes) // 2
+    low, high = sums(sizes[:half]), sums(sizes[half:])
+    order = np.argsort(high, kind="stable")
+    at = np.searchsorted(high[order], rest - low)
+    best = (np.inf, 0.0, 0, 0)
+    for shift in (-1, 0):
+        k = order[np.clip(at + shift, 0, len(high) - 1)]
+        total = low + high[k]
+        i = int(np.lexsort((total, np.abs(rest - total)))[0])
+        best = min(best, (abs(rest - float(total[i])), float(total[i]), i, int(k[i])))
+    bits = [best[2] >> j & 1 for j in range(half)] + [best[3] >> j & 1 for j in range(len(sizes) - half)]
+    return np.array(bits, bool)
+
+
+def nearest_documents(sizes: np.ndarray, rest: float) -> np.ndarray:
+    """Which of the documents, given in permuted order, are drawn for ``rest`` words, by the rule above."""
+    chosen = np.zeros(len(sizes), bool)
+    some = np.flatnonzero(sizes > 0)
+    small = some[np.argsort(sizes[some], kind="stable")[:EXACT]]
+    others = np.setdiff1d(some, small)
+    for i in others:
+        if sizes[i] <= rest:
             chosen[i] = True
-            taken += int(s)
-    if len(pdf) <= 64 and sizes.sum() <= 4_000_000:
-        chosen = np.array(nearest_subset(sizes.tolist(), rest), bool) & (sizes > 0)
-        taken = int(sizes[chosen].sum())
-    while True:  # add a row, or put one in another's place, as long as that comes nearer
-        gap = rest - taken
-        others, inside = np.flatnonzero(~chosen & (sizes > 0)), np.flatnonzero(chosen)
-        if not len(others):
-            break
-        others = others[np.argsort(sizes[others], kind="stable")]
-        leave = np.concatenate([[0], sizes[inside]])
-        want = gap + leave
-        at = np.searchsorted(sizes[others], want)
-        best = min(
-            ((abs(gap - (sizes[others[k]] - leave[i])), i, k) for shift in (-1, 0) for i, k in enumerate(np.clip(at + shift, 0, len(others) - 1))),
-            key=lambda x: x[0],
-        )
-        if best[0] >= abs(gap):
-            break
-        if best[1]:
-            chosen[inside[best[1] - 1]] = False
-        chosen[others[best[2]]] = True
-        taken = int(sizes[chosen].sum())
-    pdf["chosen"] = chosen
-    return pdf[["doc_id", "sk", "size", "chosen"]]
+            rest -= int(sizes[i])
+    more = others[~chosen[others]]
+    more = more[np.argsort(sizes[more], kind="stable")[:1]]
+    subset = nearest_subset(sizes[small], rest)
+    gap = abs(rest - sizes[small][subset].sum())
+    for i in more:
+        if sizes[i] - rest < gap:
+            chosen[i], subset = True, np.zeros(len(small), bool)
+    chosen[small] = subset
+    return chosen
 
 
-def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken, shards) of every row; shards has one a copy."""
-    spark = docs.sparkSession
-    sized = written(
-        docs.select(
-            "doc_id", "source", F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        ),
-        "sizes",
-    )
-    rows = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    goal = targets([r.s for r in rows], mix.weights, mix.most)
-    whole = [min(mix.most, math.floor(t / r.s)) if r.s else 0 for r, t in zip(rows, goal, strict=True)]
-    rest = [t - w * r.s for r, t, w in zip(rows, goal, whole, strict=True)]
-    blocks = [max(1, min(r.n, 16 * mix.shards)) for r in rows]
-    units = np.array([b * (w + (x > 0)) for b, w, x in zip(blocks, whole, rest, strict=True)], np.int64)
+@dataclass
+class Level:
+    """The permutation of a source's blocks: rank of each (-1: empty), ranks drawn in full, ranks drawn in part."""
+
+    rank: list[int]
+    full: int
+    part: int
+    rest: float
+    documents: int
+
+    @staticmethod
+    def of(words: np.ndarray, docs: np.ndarray, rest: float, few: int, rng: np.random.Generator) -> Level:
+        order = rng.permutation(BLOCKS)
+        order = order[docs[order] > 0]
+        rank = np.full(BLOCKS, -1)
+        rank[order] = np.arange(len(order))
+        if rest <= 0:
+            return Level(rank.tolist(), 0, 0, 0.0, 0)
+        reach = np.cumsum(words[order])
+        full = int(np.searchsorted(reach, rest, side="right"))
+        stop = full
+        while stop < len(order) and docs[order[full:stop]].sum() < few:
+            stop += 1
+        while full and docs[order[full:stop]].sum() < few:
+            full -= 1
+        return Level(rank.tolist(), full, stop - full, rest - float(words[order[:full]].sum()), int(docs[order[full:stop]].sum()))
+
+
+def _block(level: int, mix: Mix) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(mix.seed + level)), F.lit(BLOCKS)).cast("int")
+
+
+@dataclass
+class Plan:
+    """sources: a row a source with its arrays; window: (sk__, doc_id) of the documents drawn in part."""
+
+    sources: DataFrame
+    window: DataFrame
+    levels: int
+    small: bool
+
+
+def _plan(sized: DataFrame, mix: Mix) -> Plan:
+    spark = sized.sparkSession
+    kind = sized.schema["doc_id"].dataType
+
+    def counted(rows: DataFrame, by: str, level: int) -> dict:
+        """Words and documents of the blocks of every source."""
+        out: dict = {}
+        for r in rows.groupBy(by, _block(level, mix).alias("b")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect():
+            words, docs = out.setdefault(r[0], (np.zeros(BLOCKS, np.int64), np.zeros(BLOCKS, np.int64)))
+            words[r.b], docs[r.b] = r.s, r.n
+        return out
+
+    first = counted(sized, "source", 1)
+    names = sorted(first, key=lambda x: (x is None, x or ""))
+    sizes = [int(first[x][0].sum()) for x in names]
+    goal = targets(sizes, mix.weights, mix.most)
+    whole = [min(mix.most, int(t // s)) if s else 0 for s, t in zip(sizes, goal, strict=True)]
+    lacks = [t - w * s for s, t, w in zip(sizes, goal, whole, strict=True)]
     rng = np.random.Generator(np.random.PCG64(mix.seed))
-    quotas = split_quotas(units, mix.shards, rng)
-    dealt = []
-    for n, q in zip(units, quotas, strict=True):
-        shard = np.empty(n, np.int64)
-        shard[rng.permutation(n)] = np.repeat(np.arange(mix.shards), q)
-        dealt.append(shard.tolist())
-    kind = T.StructType(
+    levels = [[Level.of(*first[x], rest, mix.few, rng)] for x, rest in zip(names, lacks, strict=True)]
+    rounds = [max(own[0].rank) + 1 for own in levels]
+    quotas = np.array([w * n + own[0].full + own[0].part for w, n, own in zip(whole, rounds, levels, strict=True)], np.int64)
+    shares = np.cumsum(split_quotas(quotas, mix.shards, rng), axis=1)
+
+    one = T.StructType([T.StructField("rank", T.ArrayType(T.IntegerType())), T.StructField("full", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    schema = T.StructType(
         [
-            T.StructField("sk", T.IntegerType()), T.StructField("source_", T.StringType()), T.StructField("source_size", T.LongType()),
-            T.StructField("target", T.DoubleType()), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType()),
-            T.StructField("n", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("dealt", T.ArrayType(T.IntegerType())),
+            T.StructField("sk__", T.IntegerType()), T.StructField("source__", T.StringType()), T.StructField("source_size__", T.LongType()),
+            T.StructField("target__", T.DoubleType()), T.StructField("whole__", T.IntegerType()), T.StructField("round__", T.IntegerType()),
+            T.StructField("rest__", T.DoubleType()), T.StructField("shares__", T.ArrayType(T.LongType())), T.StructField("levels__", T.ArrayType(one)),
         ]
     )
-    sources = spark.createDataFrame(
-        [(i, r.source, r.s, goal[i], whole[i], rest[i], r.n, blocks[i], dealt[i]) for i, r in enumerate(rows)], kind
-    )
-    small = int(units.sum()) <= 1_000_000
-    hint = F.broadcast if small else lambda df: df
-    keyed = sized.join(hint(sources.select("sk", "source_")), F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "source")
-    keyed = keyed.withColumn("u", F.xxhash64("doc_id", F.lit(mix.seed)))
-    pieces: list[DataFrame] = []
-    live = keyed.join(hint(sources.select("sk", "rest", "n")), "sk")
-    level = 0
+
+    def table() -> DataFrame:
+        rows = [
+            (i, x, sizes[i], goal[i], whole[i], rounds[i], levels[i][-1].rest, shares[i].tolist(), [(v.rank, v.full, v.part) for v in levels[i]])
+            for i, x in enumerate(names)
+        ]
+        return spark.createDataFrame(rows, schema)
+
+    small = len(names) * (BLOCKS + mix.shards) <= 4_000_000
     while True:
-        level += 1
-        parts = F.least(F.lit(256), F.ceil(F.col("n") / mix.pack)).cast("long")
-        live = live.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(mix.seed + level)), parts))
-        by_rank = Window.partitionBy("sk").orderBy(F.xxhash64("block", F.lit(mix.seed + level)), "block")
-        stats = (
-            live.groupBy("sk", "block", "rest")
-            .agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("m"))
-            .withColumn("reach", F.sum("s").over(by_rank.rowsBetween(Window.unboundedPreceding, 0)))
-            .select(
-                "sk", "block", "m",
-                F.when(F.col("reach") <= F.col("rest"), 1).when(F.col("reach") - F.col("s") >= F.col("rest"), 0).alias("state"),
-                (F.col("rest") - F.col("reach") + F.col("s")).alias("inner"),
-            )
-        )
-        stats = written(stats, "blocks")  # at most 256 rows a source
-        known = live.join(hint(stats), ["sk", "block"])
-        pieces.append(known.where("state IS NOT NULL").select("doc_id", "sk", "size", (F.col("state") == 1).alias("chosen")))
-        live = known.where("state IS NULL").select("doc_id", "sk", "size", "u", F.col("inner").alias("rest"), F.col("m").alias("n"))
-        if (stats.where("state IS NULL").agg(F.max("m")).first()[0] or 0) <= mix.pack * 2:
+        plan = Plan(table(), spark.createDataFrame([], T.StructType([T.StructField("sk__", T.IntegerType()), T.StructField("doc_id", kind)])), max(map(len, levels), default=0), small)
+        large = [i for i, own in enumerate(levels) if own[-1].documents > mix.pack and len(own) < _LEVELS]
+        if not large:
             break
-    pieces.append(
-        live.groupBy("sk").applyInPandas(_packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sk int, size long, chosen boolean")
-    )
-    every = pieces[0]
-    for x in pieces[1:]:
-        every = every.unionByName(x)
-    copies = F.col("whole") + F.col("chosen").cast("int")
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(mix.seed + 100)), F.col("blocks").cast("long")).cast("int")
-    shards = F.when(
-        copies > 0, F.transform(F.sequence(F.lit(0), F.greatest(copies - 1, F.lit(0))), lambda c: F.col("dealt")[unit + c * F.col("blocks")])
-    ).otherwise(F.array().cast("array<int>"))
-    return every.join(hint(sources), "sk").select(
-        "doc_id", F.col("source_").alias("source"), "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), shards.alias("shards"),
+        inside = _with_sources(sized, plan).where(_state(plan.levels, mix).isNull() & F.col("sk__").isin(large))
+        for i, (words, docs) in counted(inside, "sk__", plan.levels + 1).items():
+            levels[i].append(Level.of(words, docs, levels[i][-1].rest, mix.few, rng))
+        for i in large:
+            if len(levels[i]) == plan.levels:  # no rows: cannot be, its window held documents
+                raise AssertionError("a window without documents")
+    inside = _with_sources(sized, plan).where(_state(plan.levels, mix).isNull())
+    inside = inside.groupBy("sk__", "doc_id").agg(F.sum("size").alias("size"), F.first("rest__").alias("rest__"))
+    inside = inside.withColumn("u__", F.xxhash64("doc_id", F.lit(mix.seed)))
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u__", "doc_id"], kind="stable")
+        return pdf[nearest_documents(pdf["size"].to_numpy(np.int64), float(pdf["rest__"].iloc[0]))][["sk__", "doc_id"]]
+
+    plan.window = written(inside.groupBy("sk__").applyInPandas(drawn, plan.window.schema), "window")
+    return plan
+
+
+def _with_sources(rows: DataFrame, plan: Plan) -> DataFrame:
+    sources = F.broadcast(plan.sources) if plan.small else plan.sources
+    return rows.join(sources, F.col("source").eqNullSafe(F.col("source__"))).drop("source__")
+
+
+def _state(levels: int, mix: Mix) -> Column:
+    """Whether a document is drawn in the last round: true, false, or null if the window decides."""
+    out: Column = F.lit(None).cast("boolean")
+    for i in range(levels, 0, -1):
+        level = F.get("levels__", F.lit(i - 1))
+        rank = F.get(level["rank"], _block(i, mix))
+        # a source without this level goes to its window
+        out = F.when(rank < level["full"], True).when(rank >= level["full"] + level["part"], False).otherwise(out)
+    return out
+
+
+def _draws(rows: DataFrame, plan: Plan, mix: Mix) -> DataFrame:
+    """``rows`` (doc_id, source, ...) with source_size__, target__ and shards__: the shard of every draw that holds the row."""
+    window = plan.window.select(F.col("sk__").alias("wk__"), F.col("doc_id").alias("wd__"))
+    window = F.broadcast(window) if plan.window.count() <= 1_000_000 else window
+    found = _with_sources(rows, plan).join(window, (F.col("sk__") == F.col("wk__")) & F.col("doc_id").eqNullSafe(F.col("wd__")), "left")
+    last = F.coalesce(_state(plan.levels, mix), F.col("wk__").isNotNull())
+    rank = F.get(F.get("levels__", F.lit(0))["rank"], _block(1, mix))
+    rounds = F.when(F.col("whole__") > 0, F.sequence(F.lit(0), F.greatest(F.col("whole__") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    rounds = F.concat(rounds, F.when(last, F.array("whole__")).otherwise(F.array().cast("array<int>")))
+    places = F.transform(rounds, lambda c: c * F.col("round__") + rank)
+    # a shard draws the places from where the one before it stopped; beyond the last quota nothing is drawn
+    shards = F.transform(F.filter(places, lambda x: x < F.element_at("shares__", -1)), lambda x: F.size(F.filter("shares__", lambda s: s <= x)))
+    keep = [c for c in rows.columns]
+    return found.select(*keep, "source_size__", "target__", shards.alias("shards__"))
+
+
+def _size() -> Column:
+    return F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, shards) of every row; shards has one a copy."""
+    sized = written(docs.select("doc_id", "source", _size().alias("size")), "sizes")
+    copies = F.size("shards__")
+    return _draws(sized, _plan(sized, mix), mix).select(
+        "doc_id", "source", "size", F.col("source_size__").alias("source_size"), F.col("target__").alias("target"),
+        copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.col("shards__").alias("shards"),
     )
 
 
+#: Columns of the mix, which replace a table's own of the same names.
+MIX_COLUMNS = ("size", "source_size", "target", "taken", "copy", "shard", "place")
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix itself: a row of ``docs`` for every copy taken, with ``shard``, ``copy`` and ``place`` (the order in a
-    shard), laid out by shard and shuffled inside it.  The mix's own columns replace those of the same names.  Rows that repeat
-    a doc_id are drawn each, as rows of that document."""
-    plan = mixture(docs, mix).where("copies > 0").select("doc_id", "size", "source_size", "target", "taken", "shards")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copy", "shard", "shards", "place")]
-    rows = docs.select(*own).join(plan, "doc_id").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    place = F.xxhash64("doc_id", "copy", F.lit(mix.seed + 200))
+    """The mix itself: a row of ``docs`` for every copy taken, with ``size``, ``source_size``, ``target``, ``taken`` (of
+    the row, all copies), ``copy``, ``shard`` and ``place`` (the order in a shard), laid out by shard and shuffled inside
+    it.  These replace columns of the same names."""
+    sized = written(docs.select("doc_id", "source", _size().alias("size")), "sizes")
+    own = docs.select(*(c for c in docs.columns if c.lower() not in MIX_COLUMNS))
+    rows = _draws(own, _plan(sized, mix), mix).where(F.size("shards__") > 0).withColumn("size", _size())
+    rows = rows.select(
+        *own.columns, "size", F.col("source_size__").alias("source_size"), F.col("target__").alias("target"),
+        (F.size("shards__") * F.col("size")).cast("long").alias("taken"), F.posexplode("shards__").alias("copy", "shard"),
+    ).withColumn("place", F.xxhash64("doc_id", "copy", F.lit(mix.seed + 200)))
     # a shard is laid out in up to 256 runs of places, so that its size does not bound a task's
-    rows = rows.withColumn("place", place)
     return rows.repartition("shard", F.shiftright("place", 56)).sortWithinPartitions("shard", "place")
