@@ -12,7 +12,7 @@ folds embeddings and softmax into one table of buckets x languages, which is wha
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; a corpus without any
 training row makes every text ``und``; ties go to the language that sorts first; repeated rows are scored each;
-extra columns pass through.
+extra columns pass through, but for those with the names of ``identify``'s own, which it replaces.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow, held_out, trim
 from .textkern import LETTERS, LOWER, U64, pieces
@@ -182,32 +183,38 @@ def _scores(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> tuple[np
     return p.argmax(axis=1), p.max(axis=1)
 
 
+def _judged(model: LanguageModel, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each text has a letter, the number of its best label and its probability."""
+    best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for _, _, data, off in pieces(col):
+        i, p = _scores(model, data, off)
+        best.append(i)
+        score.append(p)
+    letters = np.array([x.is_valid and any(map(str.isalpha, x.as_py())) for x in col], bool)
+    return letters, np.concatenate(best), np.where(letters, np.concatenate(score), 0.0)
+
+
+#: Columns that ``identify`` adds, in place of a table's own of these names.
+ADDED = ("lang_pred", "lang_score", "lang_rejected")
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_rejected."""
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ADDED))
     if not model.labels:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(True).alias("lang_rejected"))
-    model = LanguageModel(model.labels, model.table, model.bias, model.temperature, model.reject)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.labels, object)
         for batch in batches:
-            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, data, off in pieces(batch.column("text")):
-                i, p = _scores(model, data, off)
-                best.append(i)
-                score.append(p)
-            letters = np.asarray(batch.column("letters_").to_numpy(zero_copy_only=False), bool)
-            p = np.where(letters, np.concatenate(score), 0.0)
-            lang = np.where(letters, names[np.concatenate(best)], "und")
-            keep = [i for i, f in enumerate(batch.schema.names) if f != "letters_"]
+            letters, best, p = _judged(model, batch.column(batch.schema.get_field_index("text")))
+            lang = np.where(letters, names[best], "und")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in keep] + [pa.array(lang, pa.string()), pa.array(p), pa.array(~letters | (p < model.reject))],
-                [batch.schema.names[i] for i in keep] + ["lang_pred", "lang_score", "lang_rejected"],
+                [*batch.columns, pa.array(lang, pa.string()), pa.array(p), pa.array(~letters | (p < model.reject))], [*batch.schema.names, *ADDED]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double, lang_rejected boolean"
-    return docs.withColumn("letters_", has_letter).transform(arrow, run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ADDED[0], T.StringType()), T.StructField(ADDED[1], T.DoubleType()), T.StructField(ADDED[2], T.BooleanType())])
+    return docs.transform(arrow, run, schema)
 
 
 def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -217,9 +224,7 @@ def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index("text"))
-            score = np.concatenate([np.zeros(0), *(_scores(model, data, off)[1] for _, _, data, off in pieces(col))])
-            letters = np.array([x.is_valid and any(map(str.isalpha, x.as_py())) for x in col], bool)
-            yield batch.filter(pa.array(letters & (score >= model.reject)))
+            letters, _, p = _judged(model, batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array(letters & (p >= model.reject)))
 
     return docs.transform(arrow, run, docs.schema)
