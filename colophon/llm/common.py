@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new one (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a local session gets a
+    folder of its own; on a cluster there is none that all could read, so the setting is required."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_colophon_dir", None)
     if not at:
-        at = getattr(spark.sparkContext, "_colophon_dir", None)
-        if at is None:
-            at = spark.sparkContext._colophon_dir = tempfile.mkdtemp(prefix="colophon-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that driver and executors share")
+        at = sc._colophon_dir = tempfile.mkdtemp(prefix="colophon-")
     return at.rstrip("/")
 
 
@@ -90,16 +92,19 @@ def trim() -> None:
         return
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch is in memory at both ends.
+#: Rows and bytes of an Arrow batch at most: texts are long, and a batch is in memory at both ends.
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 
 
 def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` in batches of at most BATCH_ROWS, with memory given back after every task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """``df.mapInArrow`` in batches of at most BATCH_ROWS rows or about BATCH_BYTES, with memory given back after every
+    task.  The limits are settings of the session, which Spark reads when the plan runs: they are lowered, never raised."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(key)).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):  # 0 and less mean no limit
+            conf.set(key, str(most))
 
     def tidy(batches):
         yield from run(batches)
