@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import citations, matching, records, references  # noqa: F401  they register their queries
+from .plans import adapters, citations, matching, notes, records, references  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL
 
 

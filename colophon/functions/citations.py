@@ -11,8 +11,8 @@ from .text import folded_key, normalize_space, strip_accents
 
 # Patterns whose matches decide the results.
 YEAR = r"\b(?:17|18|19|20)\d{2}[a-z]?\b"
-HEADING = r"(?im)^\s*(references|bibliography|works cited|literature cited)\s*$"
-HEADINGS = ("references", "bibliography", "works cited", "literature cited")
+HEADINGS = "references|bibliography|[a-z]+ cited"
+HEADING = rf"(?im)^\s*({HEADINGS})\s*$"
 APPENDIX = r"(?im)^\s*(appendix|online appendix|supplementary|supporting information|tables? |figures? )"
 INLINE_BREAKS = (
     r"""(?<=[.?!”"\)])\s+(?=[A-Z]{2,}(?:\s+[A-Z]{2,})*,\s*\d{4}[a-z]?\b)""",
@@ -102,7 +102,7 @@ def dropped_line(c: Column) -> Column:
     s = normalize_space(c, soft_hyphen=True)
     low = F.lower(s)
     return (
-        (s == "") | low.isin(*HEADINGS) | _hit(s, r"^\d+$") | low.startswith("published online by") | (s.startswith("https://doi.org/") & low.contains("published online by"))
+        (s == "") | low.rlike(f"^({HEADINGS})$") | _hit(s, r"^\d+$") | low.startswith("published online by") | (s.startswith("https://doi.org/") & low.contains("published online by"))
         | low.startswith("downloaded from ") | low.startswith("copyright ") | s.startswith("©") | _hit(s, r"^\[[A-Za-z]+\s+\d{4}\]$")
         | low.contains("creativecommons.org/licenses") | garbled(s)
     )
@@ -114,12 +114,13 @@ def citation_line(c: Column) -> Column:
     head = F.left(s, F.lit(220))
     before = F.regexp_replace(head, f"(?sU){YEAR}.*$", "")
     listed = _hit(s, SURNAME_COMMA) & (F.length(before) - F.length(F.replace(before, F.lit(","), F.lit(""))) >= 2)
-    return (F.length(s) >= 20) & ~dropped_line(s) & _hit(head, YEAR) & (_hit(s, "^[,—-]") | _any(s, CITATION_STARTS) | listed)
+    # most lines have no year: it is asked for first
+    return (F.length(s) >= 20) & _hit(head, YEAR) & ~dropped_line(s) & (_hit(s, "^[,—-]") | _any(s, CITATION_STARTS) | listed)
 
 
 def starts_reference(c: Column) -> Column:
     s = normalize_space(c, soft_hyphen=True)
-    return (_hit(s, "^[,—-]") & _hit(F.left(s, F.lit(220)), YEAR)) | citation_line(s)
+    return _hit(F.left(s, F.lit(220)), YEAR) & (_hit(s, "^[,—-]") | citation_line(s))
 
 
 def running_header(c: Column) -> Column:
@@ -133,7 +134,7 @@ def running_header(c: Column) -> Column:
 
 def after_heading(c: Column) -> Column:
     """Text after the last heading of a reference list, the whole text where there is none."""
-    return F.regexp_replace(c, r"(?is)^.*(?m:^)(?U:\s)*(references|bibliography|works cited|literature cited)(?U:\s)*(?m:$)", "")
+    return F.regexp_replace(c, rf"(?is)^.*(?m:^)(?U:\s)*({HEADINGS})(?U:\s)*(?m:$)", "")
 
 
 def finished(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import normalize_space, strip_accents, title_words
+from .text import normalize_space, strip_accents, title_words, unescaped
 
 # Particles, stopwords, journals and hints that decide the results.
 PARTICLES = ("al", "bin", "da", "de", "del", "della", "der", "di", "du", "la", "le", "san", "st", "van", "von")
@@ -207,16 +207,38 @@ def _holds(c: Column, hints: tuple[str, ...]) -> Column:
     return c.rlike("|".join(hints))
 
 
+def canonical_code(code: Column, venue: Column) -> Column:
+    """A journal's code in lower case; the code of working papers is a journal's where the venue names it."""
+    code = F.lower(normalize_space(F.coalesce(code, F.lit(""))))
+    return F.when(code == "wp", F.when(dropping_title_words(venue).contains("world politics"), "wpol").otherwise("wp")).otherwise(code)
+
+
+def unknown_journal(venue: Column) -> Column:
+    """The slug of a venue that has no code."""
+    venue = normalize_space(unescaped(F.coalesce(venue, F.lit(""))))
+    return F.when(venue == "", "").otherwise(_slug(venue))
+
+
+def paper_like(given: Column, venue: Column, publisher: Column, note: Column, title: Column) -> Column:
+    """Reports, and what a series or a state of unpublished papers is named in."""
+    return (given == "techreport") | _holds(dropping_title_words(F.concat_ws(" ", venue, publisher, note, title)), PAPER_HINTS)
+
+
+def book_like(given: Column, venue: Column, publisher: Column, note: Column, title: Column) -> Column:
+    """Chapters, what a publisher of books is named in, and books and chapters of any press."""
+    parts = dropping_title_words(F.concat_ws(" ", venue, publisher, note))
+    chapter = parts.contains("book chapter") | (parts.contains("chapter") & ~parts.contains("working paper"))
+    return chapter | _holds(parts, PUBLISHER_HINTS) | (given.isin("book", "incollection") & _holds(parts, ("press", "routledge")))
+
+
 def entry_type(given: Column, venue: Column, publisher: Column, note: Column, title: Column, code: Column, thesis: Column) -> Column:
     """article, techreport, book, incollection, phdthesis or misc; the first rule that holds decides."""
     given = F.lower(normalize_space(F.coalesce(given, F.lit(""))))
-    parts = dropping_title_words(F.concat_ws(" ", venue, publisher, note))
-    paper = (given == "techreport") | _holds(dropping_title_words(F.concat_ws(" ", venue, publisher, note, title)), PAPER_HINTS)
-    chapter = parts.contains("book chapter") | (parts.contains("chapter") & ~parts.contains("working paper"))
-    book = chapter | _holds(parts, PUBLISHER_HINTS) | (given.isin("book", "incollection") & _holds(parts, ("press", "routledge")))
+    args = (given, venue, publisher, note, title)
+    chapter = (given == "incollection") | dropping_title_words(F.concat_ws(" ", venue, publisher, note)).contains("chapter")
     return (
-        F.when(thesis, "phdthesis").when(journal_code(venue, code).isin(*JOURNALS) | (given == "article"), "article").when(paper, "techreport")
-        .when(book & ((given == "incollection") | parts.contains("chapter")), "incollection").when(book, "book")
+        F.when(thesis, "phdthesis").when(journal_code(venue, code).isin(*JOURNALS) | (given == "article"), "article").when(paper_like(*args), "techreport")
+        .when(book_like(*args) & chapter, "incollection").when(book_like(*args), "book")
         .when(F.lower(venue).rlike("university|school|department"), "phdthesis").when(given == "phdthesis", given).otherwise("misc")
     )
 

@@ -29,7 +29,7 @@ def normalize_doi(c: Column) -> Column:
 
 def extract_doi(c: Column) -> Column:
     """The first identifier of the form 10.registrant/suffix in a text, lower case, without closing punctuation."""
-    found = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1)
+    found = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1)
     return F.lower(F.regexp_replace(found, r"[).,;]+$", ""))
 
 
@@ -76,15 +76,6 @@ def page_span(first: Column, last: Column) -> Column:
     return F.when(plain, last.try_cast("int") - first.try_cast("int") + 1)
 
 
-def bib_pages(c: Column) -> Column:
-    """Dashes between numbers as the double hyphen of BibTeX."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=\d)\s*[-–—]+\s*(?=\d)", "--")
-
-
-def bib_escape(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), r"([{}&%$#_])", r"\\$1")
-
-
 def split_names(c: Column) -> Column:
     """Names separated by semicolons, commas or the word and; blanks dropped."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), r";|,|\s+and\s+"), lambda x: F.trim(x))
@@ -118,16 +109,24 @@ def year_in(c: Column, within: int = 220) -> Column:
 
 
 def rebuilt_abstract(index: Column) -> Column:
-    """Text of an inverted index (word to places): gaps are empty words, of two words in one place the later wins."""
-    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    last = F.array_max(F.transform(pairs, lambda x: x["p"]))
-    # later entries overwrite earlier ones
-    placed = F.aggregate(
-        pairs,
-        F.transform(F.sequence(F.lit(0), last), lambda _: F.lit("")),
-        lambda words, x: F.transform(words, lambda w, i: F.when(i == x["p"], x["w"]).otherwise(w)),
-    )
-    return F.when(F.size(pairs) > 0, F.array_join(placed, " ")).otherwise("")
+    """Text of an inverted index (word to places): gaps are empty words, of two words in one place the later wins.
+
+    Places are sorted once; every word then brings the empty words of the gap before it.
+    """
+    pairs = F.flatten(F.transform(F.map_entries(index), lambda e, k: F.transform(e["value"], lambda p: F.struct(p.alias("p"), k.alias("k"), e["key"].alias("w")))))
+    by_place = F.array_sort(pairs)
+    place = lambda i: F.coalesce(F.get(by_place, i)["p"], F.lit(-1))
+    last = F.filter(by_place, lambda x, i: x["p"] != place(i + 1))
+    words = F.flatten(F.transform(last, lambda x, i: F.concat(F.array_repeat(F.lit(""), x["p"] - F.coalesce(F.get(last, i - 1)["p"], F.lit(-1)) - 1), F.array(x["w"]))))
+    return F.when(F.size(pairs) > 0, F.array_join(words, " ")).otherwise("")
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    """Character references of HTML decoded, which no built-in function does."""
+    import html
+
+    return s.map(lambda x: None if x is None else html.unescape(x))
 
 
 def ratio(a: str, b: str) -> float:
@@ -169,3 +168,53 @@ def links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([
         None if h is None else list(dict.fromkeys(urljoin(b or "", unescape(m[1] or m[2] or m[3] or "")) for m in href.finditer(h))) for h, b in zip(html, base, strict=True)
     ])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def pdf_candidates(html: pd.Series, base: pd.Series) -> pd.Series:
+    """Addresses of PDFs that a page names: in two meta elements, then links whose target ends like one or whose text says so.
+
+    Absolute, in order, once each.  A link's text reaches to its end tag, or to the page's end where there is none.
+    """
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Page(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.meta, self.anchors, self.open, self.silent = {}, [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            at = dict(attrs)
+            if tag == "meta" and at.get("name") in ("citation_pdf_url", "wkhealth_pdf_url"):
+                self.meta.setdefault(at["name"], at.get("content"))
+            elif tag == "a":
+                self.open.append([at.get("href"), []])
+                if "href" in at:
+                    self.anchors.append(self.open[-1])
+            elif tag in ("script", "style"):
+                self.silent += 1
+
+        def handle_endtag(self, tag):
+            if tag == "a" and self.open:
+                self.open.pop()
+            elif tag in ("script", "style"):
+                self.silent = max(0, self.silent - 1)
+
+        def handle_data(self, data):
+            for a in self.open if not self.silent else ():
+                a[1].append(data)
+
+    def found(page, base):
+        p = Page()
+        p.feed(page)
+        p.close()
+        out = [urljoin(base, p.meta[k]) for k in ("citation_pdf_url", "wkhealth_pdf_url") if p.meta.get(k)]
+        for target, said in p.anchors:
+            to, low = urljoin(base, target or ""), " ".join(" ".join(said).split()).lower()
+            path = to.lower()
+            if path.endswith(".pdf") or ".pdf?" in path or ("pdf" in low and to.startswith("http")):
+                out.append(to)
+        return list(dict.fromkeys(x for x in out if x))
+
+    return pd.Series([None if h is None else found(h, b or "") for h, b in zip(html, base, strict=True)])

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import citations as c
-from ..functions.text import normalize_space
+from ..functions.text import normalize_space, reference_id
+from .references import block_components, similar_references
+from .stages import settled
 
 _MARK = "\x01"
 
@@ -91,7 +93,8 @@ def page_references(pages: DataFrame, doc: str, page: str, text: str = "text") -
     Lines are marked and joined inside their row, so nothing is shuffled but the number of each document's first page.
     """
     firsts = pages.groupBy(doc).agg(F.min(page).alias("first_"))
-    rows = pages.select(doc, page, text).join(firsts, doc)
+    # a reference has a year, so a page without one has none
+    rows = pages.select(doc, page, text).where(F.col(text).rlike("(?U)" + c.YEAR)).join(firsts, doc)
     rows = rows.select(doc, page, page_lines(F.col(text), F.col(page) == F.col("first_")).alias("l_"))
     clean = lambda x: normalize_space(F.translate(x, _MARK, " "), soft_hyphen=True)
     marked = F.transform(F.transform("l_", clean), lambda x: F.when(c.starts_reference(x), F.concat(F.lit(_MARK), x)).otherwise(x))
@@ -111,3 +114,39 @@ def reference_titles(rows: DataFrame, text: str, order: str) -> DataFrame:
     """(key, title): titles of all references, of equal keys the first spelling."""
     found = rows.select(order, F.posexplode(c.titles(F.col(text))).alias("at_", "title")).withColumn("key", c.title_key(F.col("title")))
     return found.where("key <> ''").groupBy("key").agg(F.min_by("title", F.struct(order, "at_")).alias("title"))
+
+
+def mined(pages: DataFrame, doc: str, page: str, text: str = "text") -> DataFrame:
+    """(doc, method, reference_index, reference, norm): the references on the pages that hold each document's list."""
+    held = reference_pages(pages, doc, page, text)
+    found = parsed_references(pages.join(held.select(doc, page), [doc, page], "left_semi"), doc, page, text)
+    return found.join(held.select(doc, "method").distinct(), doc).select(doc, "method", "reference_index", "reference", "norm")
+
+
+def mining_status(pages: DataFrame, references: DataFrame, doc: str, page: str, text: str = "text") -> DataFrame:
+    """(doc, pages, start, end, method, extracted, note) of every document, with or without a list."""
+    held = reference_pages(pages, doc, page, text).groupBy(doc).agg(F.min(page).alias("start"), F.max(page).alias("end"), F.first("method").alias("method"))
+    count = references.groupBy(doc).agg(F.count(F.lit(1)).alias("extracted"))
+    every = pages.groupBy(doc).agg(F.max(page).alias("pages")).join(held, doc, "left").join(count, doc, "left")
+    # Fixed value: what is noted where nothing was found.
+    note = F.when(F.col("start").isNull(), "no standard references section detected").otherwise("")
+    return every.select(doc, "pages", "start", "end", F.coalesce("method", F.lit("none")).alias("method"), F.coalesce("extracted", F.lit(0)).alias("extracted"), note.alias("note"))
+
+
+def distinct_references(references: DataFrame, doc: str) -> DataFrame:
+    """(reference_id, reference_text, source_pdf_count, source_pdfs) of references that are the same, in order of their key.
+
+    Same are equal keys, and similar ones that begin with the same word and give the same year.
+    """
+    norm, year = F.col("norm"), F.regexp_extract(F.left("reference", F.lit(220)), f"(?U)({c.YEAR})", 1)
+    rows = settled(references).withColumn("token_", F.split(norm, " ")[0]).withColumn("year_", year).where("norm <> ''").withColumn("id_", F.sha2(F.concat_ws("\x1f", "token_", "year_", "norm"), 256))
+    firsts = rows.select("token_", "year_", "norm", "id_").distinct()
+    pairs = similar_references(firsts, ["token_", "year_"], "id_", "norm")
+    parts = block_components(pairs, firsts, "id_").withColumnRenamed("id", "id_")
+    made = rows.withColumnRenamed("reference", "text_").join(parts, "id_")
+    best = made.groupBy("component").agg(F.min_by(F.struct("text_", "norm"), F.struct(-F.length("text_"), "text_")).alias("c_"), F.array_sort(F.collect_set(F.col(doc).cast("string"))).alias("o_"))
+    out = best.select(
+        reference_id(F.col("c_.norm")).alias("reference_id"), F.col("c_.text_").alias("reference_text"), F.size("o_").cast("long").alias("source_pdf_count"),
+        F.array_join("o_", " | ").alias("source_pdfs"), F.col("c_.norm").alias("norm"),
+    )
+    return out.orderBy("norm", "reference_id").drop("norm")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,10 +59,36 @@ def unique_matches(left: DataFrame, right: DataFrame, left_id: str, keys: list[s
     return found.groupBy(left_id).agg(F.count(F.lit(1)).alias("n_"), F.first(F.struct(*others)).alias("v_")).where("n_ = 1").select(left_id, "v_.*")
 
 
-def allocated_names(rows: DataFrame, id_: str, name: str) -> DataFrame:
-    """(id, name): the first of equal names keeps it, the others get _2, _3, ..."""
-    number = F.row_number().over(Window.partitionBy(name).orderBy(id_))
-    return rows.select(id_, F.when(number == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number.cast("string"))).alias(name))
+def allocated_names(rows: DataFrame, id_: str, name: str, taken: DataFrame | None = None) -> DataFrame:
+    """(id, name): in order of ``id_`` a row keeps its name if that is free, else takes the first free of _2, _3, ...
+
+    A name is taken by ``taken`` (column ``name``), and by what earlier rows got.  Rows meet in a fold only where a name
+    can hold another row's: names that are alike once their endings _2, _3, ... are cut off, and that are asked for more
+    than once or taken; every other row keeps its name where it is.
+    """
+    stem = F.regexp_replace(name, r"(_([2-9]|[1-9][0-9]+))+$", "")
+    asked = rows.select(F.col(id_).alias("i_"), F.col(name).alias("n_"), stem.alias("s_"), F.lit(False).alias("t_"))
+    if taken is not None:
+        asked = asked.unionByName(taken.select(F.lit(None).cast(rows.schema[id_].dataType).alias("i_"), F.col(name).alias("n_"), stem.alias("s_"), F.lit(True).alias("t_")))
+    repeated = asked.groupBy("n_", "s_").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s_").distinct()
+    calm = asked.join(repeated, "s_", "left_anti").where("NOT t_").select(F.col("i_").alias(id_), F.col("n_").alias(name))
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        held = set(group.loc[group["t_"], "n_"])
+        todo, out, last = group[~group["t_"]].sort_values("i_", kind="stable"), [], {}
+        for n in todo["n_"]:
+            got = n
+            if n in held:
+                k = last.get(n, 1) + 1
+                while f"{n}_{k}" in held:
+                    k += 1
+                last[n], got = k, f"{n}_{k}"
+            held.add(got)
+            out.append(got)
+        return pd.DataFrame({id_: todo["i_"], name: out})
+
+    kinds = f"{id_} {rows.schema[id_].dataType.simpleString()}, {name} string"
+    return calm.unionByName(asked.join(repeated, "s_", "left_semi").groupBy("s_").applyInPandas(fold, kinds))
 
 
 def related(rows: DataFrame, id_: str, tokens: str, top: int = 6, least: int = 2, each: float = 0.22, most: float = 1.8) -> DataFrame:

@@ -32,6 +32,26 @@ def keyword_match(rows: DataFrame, fields: list[str], keywords: list[str], mode:
     return out
 
 
+# Titles of reviews, and abstracts that use a keyword in another sense.
+REVIEWS = (r"\bbook review\b", r"^\s*review essay\b", r"^\s*review of\b", r"\bedited by\b", r"\bPp\.\b", r"\.\s*By\s+[A-Z]")
+OTHER_SENSES = (
+    r"behavioral risk factor surveillance", r"developmental surveillance", r"surveillance department", r"post-market surveillance", r"budget surveillance", r"import surveillance",
+)
+
+
+def discovered(
+    works: DataFrame, keywords: list[str], fields: tuple[str, ...] = ("title", "abstract"), mode: str = "any", reviews: tuple[str, ...] = REVIEWS,
+    exclude: tuple[str, ...] = OTHER_SENSES,
+) -> DataFrame:
+    """Works that the keywords find: those without a title and reviews are dropped, then as ``keyword_match`` with the
+    abstract as the weak field."""
+    title = F.trim(F.coalesce("title", F.lit("")))
+    kept = works.where(title != "")
+    if reviews:
+        kept = kept.where(~title.rlike("(?iU)" + "|".join(f"(?:{p})" for p in reviews)))
+    return keyword_match(kept, list(fields), keywords, mode, weak="abstract", exclude=list(exclude))
+
+
 def upsert(rows: DataFrame, key: list[str], order: list[str], sets: list[str]) -> DataFrame:
     """One row a key: scalars of the first row by ``order``, array columns ``sets`` united and sorted.
 

@@ -7,19 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import JOURNALS, ascii_only, dropping_title_words, entry_type, journal_code
-from ..functions.text import first_of, normalize_space, ratio
-from .matching import tags as tagged
+from ..functions.labels import audit_tags, methods, regions, source_tag
+from ..functions.names import JOURNALS, dropping_title_words, entry_type, unknown_journal
+from ..functions.text import first_of, normalize_space, ratio, slug
 from .notes import is_stub_text
 
 
-# Labels of audit studies and their patterns; the parent tag comes with either.
-AUDIT = [
-    ("audit-study", r"\baudit experiment(?:s)?\b|\baudit stud(?:y|ies)\b"),
-    ("correspondence-study", r"\bcorrespondence (?:study|studies|experiment|experiments|test|tests)\b|\bemail correspondence study\b|\bemail[- ]based audit experiment\b"),
-]
-
-
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
@@ -43,54 +36,57 @@ def best_result(asked: DataFrame, results: DataFrame, id_: str, least: float, au
     return best.select(id_, "b.place", "b.score").where((F.col("score") >= least) & (F.col("score") > 0))
 
 
-def audit_tags(text: Column) -> Column:
-    """Labels of audit studies in a text, the parent tag first."""
-    found = tagged(F.coalesce(text, F.lit("")), [(label, f"(?U){p}") for label, p in AUDIT])
-    return F.when(F.size(found) > 0, F.array_distinct(F.concat(F.array(F.lit("audit-study")), found))).otherwise(found)
-
-
 def _clean(c: Column) -> Column:
     """A list's texts without surplus blanks and empty ones."""
     return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: normalize_space(x)), lambda x: x != "")
 
 
-def merged_header(rows: DataFrame, category: str, today: str, replace_title: Column) -> DataFrame:
+def merged_header(rows: DataFrame, category: str, today: str, replace_title: Column, fixed_tags: tuple[str, ...] = ("source-note",), folder: str | None = None) -> DataFrame:
     """A note's header (struct ``note``) merged with resolved metadata (struct ``found``); one row each, with dir and stem.
 
     The note's values stand unless it only holds imported metadata or awaits a review, then the resolved ones do.  A title
-    is replaced where ``replace_title`` holds.  Of the tags, those that name a source or type are made anew, and the review
-    tags follow from what is known.
+    is replaced where ``replace_title`` holds.  Methods and regions that the note does not name come from title and
+    abstract.  Of the tags, those that name a source or type are made anew, after ``fixed_tags`` and the category's, and
+    the review tags follow from what is known.  Fields that the note's struct lacks are missing values; ``folder`` is
+    where its file lies (the note's dir, if not given).
     """
-    n, m = (lambda k: F.col("note")[k]), (lambda k: F.col("found")[k])
+    has = set(rows.schema["note"].dataType.names)
+    n = lambda k: F.col("note")[k] if k in has else F.lit(None).cast("string")
+    listed = lambda k: _clean(F.col("note")[k]) if k in has else F.array().cast("array<string>")
+    m = lambda k: F.col("found")[k]
     text = lambda c: normalize_space(F.coalesce(c.cast("string"), F.lit("")))
-    old = _clean(n("tags"))
+    old = listed("tags")
     renew = (F.lower(text(n("status"))) == "imported-metadata") | F.array_contains(old, "metadata-review")
     pick = lambda k: text(first_of(F.when(renew, m(k)), n(k), m(k)))
     title = F.when((replace_title | (text(n("title")) == "")) & (text(m("title")) != ""), text(m("title"))).otherwise(text(n("title")))
-    whose = F.when((renew & (F.size(_clean(m("authors"))) > 0)) | (F.size(_clean(n("authors"))) == 0), _clean(m("authors"))).otherwise(_clean(n("authors")))
-    doi, slug = F.lower(pick("doi")), lambda c: F.regexp_replace(F.regexp_replace(F.lower(ascii_only(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    whose = F.when((renew & (F.size(_clean(m("authors"))) > 0)) | (F.size(listed("authors")) == 0), _clean(m("authors"))).otherwise(listed("authors"))
+    doi = F.lower(pick("doi"))
+    either = lambda k: F.when(renew, first_of(m(k), n(k))).otherwise(first_of(n(k), m(k)))
     out = rows.select(
         "dir", "stem", "note", "found", F.lit("source-note").alias("type"), first_of(title, F.replace("stem", F.lit("_"), F.lit(" "))).alias("title"),
-        F.array_distinct(F.concat(_clean(n("aliases")), F.array("stem"))).alias("aliases"), whose.alias("authors"), pick("year").alias("year"),
+        F.array_distinct(F.concat(listed("aliases"), F.array("stem"))).alias("aliases"), whose.alias("authors"), pick("year").alias("year"),
         pick("venue").alias("venue"), pick("publisher").alias("publisher"), F.lit(category).alias("category"),
+        listed("topics").alias("topics"), listed("keywords").alias("keywords"),
         first_of(text(n("status")), F.lit("imported-metadata")).alias("status"), doi.alias("doi"),
         first_of(pick("url"), F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi))).alias("url"), F.lit(today).alias("last_reviewed"),
-        pick("entry_type").alias("given"), pick("journal_abbr").alias("code"),
+        F.concat(F.lit("[["), F.lit(folder) if folder else F.col("dir"), F.lit("/"), "stem", F.lit(".pdf]]")).alias("pdf_local"),
+        either("entry_type").alias("given"), either("journal_abbr").alias("code"), first_of(text(n("note")) if "note" in has else F.lit("")).alias("remark"),
     )
-    kind = entry_type(F.col("given"), F.col("venue"), F.col("publisher"), F.lit(""), F.col("title"), F.col("code"), F.lit(category == "Good Dissertation"))
-    known = journal_code(F.col("venue"), F.col("code"))
-    out = out.withColumn("entry_type", kind).withColumn("venue_slug", slug(F.col("venue")))
-    code = F.when(known.isin(*JOURNALS), known).when((F.col("entry_type") == "article") & (F.col("venue") != "") & (F.col("venue_slug") != ""), F.col("venue_slug"))
-    out = out.withColumn("journal_abbr", code.otherwise(F.when(F.col("code") == "wp", F.when(dropping_title_words(F.col("venue")).contains("world politics"), "wpol").otherwise("wp")).otherwise(F.lower("code"))))
+    told = lambda k, made: F.when(F.size(listed(k)) > 0, listed(k)).otherwise(made(F.col("title"), m("abstract")))
+    out = out.withColumn("methods", told("methods", methods)).withColumn("regions", told("regions", regions))
+    thesis = F.lit(category == "Good Dissertation")
+    record = {"venue": F.col("venue"), "journal_abbr": F.col("code"), "entry_type": F.col("given"), "publisher": F.col("publisher"), "note": F.col("remark"), "title": F.col("title")}
+    kind = entry_type(F.col("given"), F.col("venue"), F.col("publisher"), F.col("remark"), F.col("title"), F.col("code"), thesis)
+    out = out.withColumn("entry_type", kind).withColumn("journal_abbr", source_tag(record, F.col("code"), thesis))
     # Tags that name a source or a type.
-    gone = F.array(*map(F.lit, (*JOURNALS, "wp", "misc", "book", "wpol", "article")), F.lower(text(n("journal_abbr"))), F.lower(text(m("journal_abbr"))), F.col("venue_slug"))
-    words = F.concat_ws(" ", "title", m("abstract"))
+    gone = F.array(*map(F.lit, (*JOURNALS, "wp", "misc", "book", "wpol", "article")), F.lower(text(n("journal_abbr"))), F.lower(text(m("journal_abbr"))), unknown_journal(F.col("venue")))
+    words = F.concat_ws(" ", "title", m("abstract"), F.array_join("methods", " "), F.array_join("keywords", " "), F.array_join("topics", " "))
     made = F.concat(
-        F.array_except(old, gone), F.array(F.lit("literature"), F.lit("source-note"), F.replace(slug(F.lit(category)), F.lit("_"), F.lit("-"))),
+        F.array_except(old, gone), F.array(*map(F.lit, fixed_tags), F.replace(slug(F.lit(category)), F.lit("_"), F.lit("-"))),
         F.array_compact(F.array(F.nullif("journal_abbr", F.lit("")), F.when(F.col("entry_type") == "article", "article"))), audit_tags(words),
     )
-    review = (text(m("source")) == "fallback") | ((F.size("authors") == 0) & (F.col("venue") == ""))
+    review = (text(m("source")) == "fallback") | (F.col("title") == "") | ((F.size("authors") == 0) & (F.col("venue") == ""))
     made = F.filter(F.array_distinct(made), lambda t: t != "metadata-review")
     made = F.when(review, F.concat(made, F.array(F.lit("metadata-review")))).otherwise(made)
     out = out.withColumn("tags", made).withColumn("tags", F.when(is_stub_text(F.col("status"), F.col("tags"), F.lit("")), F.array_union("tags", F.array(F.lit("needs-summary")))).otherwise(F.col("tags")))
-    return out.drop("note", "found", "given", "code", "venue_slug")
+    return out.drop("note", "found", "given", "code", "remark")

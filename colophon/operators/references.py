@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import reaches, reference_id
+from .stages import settled
 
 
 def lines(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -72,13 +73,15 @@ def similar_references(rows: DataFrame, block: list[str], id_: str, norm: str, r
 
 
 def block_components(pairs: DataFrame, nodes: DataFrame, id_: str) -> DataFrame:
-    """(id, component) with the smallest id of each component; an iterative smallest-label join over pair links."""
+    """(id, component) with the smallest id of each component; an iterative smallest-label join over pair links.
+
+    Every round is settled before the next."""
     labels = nodes.select(F.col(id_).alias("id"), F.col(id_).alias("component"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("low"))
         nxt = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
-        nxt = nxt.checkpoint()
+        nxt = settled(nxt)
         labels = nxt.select("id", F.col("low").alias("component"))
         if nxt.where("low < component").isEmpty():
             return labels

@@ -113,7 +113,7 @@ def document_compare_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", c.compare_key(F.col("text")).alias("norm"))
 
 
-@query(r"""SELECT doc_id, sum(CASE WHEN trim(line) = '' OR lower(trim(line)) IN ('references', 'bibliography', 'works cited', 'literature cited') OR regexp_matches(trim(line), '^[0-9]+$') OR regexp_matches(lower(trim(line)), '^(downloaded from |copyright |published online by)') OR starts_with(trim(line), '©') OR contains(lower(line), 'creativecommons.org/licenses')
+@query(r"""SELECT doc_id, sum(CASE WHEN trim(line) = '' OR regexp_matches(lower(trim(line)), '^(""" + c.HEADINGS + r""")$') OR regexp_matches(trim(line), '^[0-9]+$') OR regexp_matches(lower(trim(line)), '^(downloaded from |copyright |published online by)') OR starts_with(trim(line), '©') OR contains(lower(line), 'creativecommons.org/licenses')
   OR (length(line) >= 16 AND length(regexp_replace(line, '[A-Za-z0-9\x09-\x0D\x1C-\x20.,;:!?()\[\]{}''"/&%+\-=]', '', 'g')) >= 6 AND length(regexp_replace(line, '[^\p{L}]', '', 'g')) < 0.45::DOUBLE * length(line)) THEN 1 ELSE 0 END)::BIGINT AS dropped
 FROM (SELECT doc_id, trim(regexp_replace(replace(unnest(string_split(text, chr(10))), chr(173), ''), '""" + r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+" + r"""', ' ', 'g')) AS line FROM documents) GROUP BY doc_id""")
 def dropped_lines(spark, sf_dir):

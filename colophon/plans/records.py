@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators.joins import unique_matches
-from ..operators.publish import bib_entry, bibliography
+from ..functions.bib import bib_entry
+from ..operators.publish import bibliography
 from .registry import query, table
 
 

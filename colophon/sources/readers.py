@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import first_of
+from ..functions.text import first_of, slug
 
 WORK = (
     "id string, doi string, display_name string, title string, publication_year int, publication_date string, "
@@ -37,22 +39,6 @@ def items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM).json(path)
 
 
-def item_works(rows: DataFrame) -> DataFrame:
-    """Items in the shape of works: id from the first of DOI, URL and title, year from the first date with one."""
-    title = F.coalesce(F.get("title", F.lit(0)), F.lit(""))
-    dates = [F.col(c)["date-parts"] for c in ("published-print", "published-online", "published", "issued", "created")]
-    parts = [F.get(F.get(d, F.lit(0)), F.lit(0)) for d in dates]
-    authors = F.transform(
-        F.coalesce("author", F.array().cast("array<struct<given:string,family:string>>")),
-        lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"])),
-    )
-    return rows.select(
-        F.concat(F.lit("crossref:"), first_of(F.col("DOI"), F.col("URL"), title)).alias("id"), F.coalesce("DOI", F.lit("")).alias("doi"),
-        title.alias("title"), F.coalesce(*parts).alias("year"), F.filter(authors, lambda x: x != "").alias("authors"),
-        F.coalesce(F.get("container-title", F.lit(0)), F.lit("")).alias("venue"), first_of(F.col("URL")).alias("url"),
-    )
-
-
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, quoted line breaks and an optional byte-order mark; all columns are strings."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
@@ -91,3 +77,70 @@ def section(body, heading: str):
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """Notes with their header as a map of JSON values; a header that is no mapping or cannot be read is empty."""
+    return notes(spark, path).withColumn("header", F.from_json(header_json("header"), "map<string,string>"))
+
+
+@F.pandas_udf(T.StringType())
+def header_json(s: pd.Series) -> pd.Series:
+    """A YAML block as a JSON object: texts as they are, lists and numbers as JSON."""
+    import json
+
+    import yaml
+
+    def one(block):
+        try:
+            got = yaml.safe_load(block or "") or {}
+        except yaml.YAMLError:
+            return "{}"
+        if not isinstance(got, dict):
+            return "{}"
+        plain = {str(k): v if isinstance(v, str) else None if v is None else json.dumps(v, ensure_ascii=False, default=str) for k, v in got.items()}
+        return json.dumps(plain, ensure_ascii=False)
+
+    return s.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def header_yaml(s: pd.Series) -> pd.Series:
+    """A JSON object as the YAML block of a note: keys in order, characters as they are."""
+    import json
+
+    import yaml
+
+    def one(x):
+        return f"---\n{yaml.safe_dump(json.loads(x), sort_keys=False, allow_unicode=True, default_flow_style=False).strip()}\n---\n"
+
+    return s.map(one)
+
+
+# Directories that hold no collections.
+SYSTEM_DIRS = (".git", ".obsidian", ".claude", "_Preprocess", "_Duplicates", "Notes", "Reading Notes", "Reference", "reference", "Diary")
+
+
+def collections(files: DataFrame, known: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(pdf_dir, note_dir, category, bib_name, source) of the directories that hold a PDF directly.
+
+    ``files`` has path (relative to the root).  A directory in ``known`` has what that says, any other its own name.
+    ``wanted`` are names of directories (blanks for underscores), or of notes or categories that ``known`` gives them.
+    """
+    at = F.split("path", "/")
+    dirs = files.where(F.col("path").rlike(r"^[^/]+/[^/]+\.pdf$")).select(at[0].alias("pdf_dir")).distinct()
+    dirs = dirs.where(~F.col("pdf_dir").isin(*SYSTEM_DIRS) & ~F.col("pdf_dir").startswith("."))
+    told = known.select("pdf_dir", F.col("note_dir").alias("n_"), F.col("category").alias("c_"), F.col("bib_name").alias("b_"))
+    rows = dirs.join(told, "pdf_dir", "left")
+    if wanted:
+        named = F.col("pdf_dir").isin(*wanted) | F.replace("pdf_dir", F.lit("_"), F.lit(" ")).isin(*wanted)
+        rows = rows.where(named | F.coalesce(F.col("n_").isin(*wanted) | F.col("c_").isin(*wanted), F.lit(False)))
+    return rows.select(
+        "pdf_dir", F.coalesce("n_", "pdf_dir").alias("note_dir"), F.coalesce("c_", "pdf_dir").alias("category"),
+        F.coalesce("b_", F.concat(slug(F.col("pdf_dir"), "collection"), F.lit(".bib"))).alias("bib_name"), F.when(F.col("n_").isNull(), "auto").otherwise("explicit").alias("source"),
+    )
+
+
+def folder_names(rows: DataFrame) -> DataFrame:
+    """(folder, pdf_dir): every name that a collection's folder goes by."""
+    return rows.select(F.explode(F.array_distinct(F.array("pdf_dir", "note_dir", "category"))).alias("folder"), "pdf_dir")

@@ -197,12 +197,12 @@ def test_merged_header(spark):
         [("d", "s_2010", ("Mine", ["x"], ["A B"], "2010", "World Politics", None, "organized", "10.1/A", None, "", "", ["wpol", "own"]), ("Theirs", ["C D"], "2011", "Other", "P", "10.2/b", "", "", "", "an audit study", "crossref")),
          ("d", "t_2011", ("", None, ["A B"], "2010", "", None, "imported-metadata", None, None, "", "", ["metadata-review"]), ("Theirs", ["C D"], "2011", "Annals of X", "P", "10.2/B", "", "article", "", None, "crossref")),
          ("d", "u_v", ("", None, None, None, None, None, None, None, None, None, None, None), None)], f"dir string, stem string, note {note}, found {found}")
-    got = {r.stem: r for r in merged_header(rows, "Law Cases", "2020-01-01", F.lit(False)).collect()}
+    got = {r.stem: r for r in merged_header(rows, "Law Cases", "2020-01-01", F.lit(False), ("fixed", "source-note")).collect()}
     a, b, c_ = got["s_2010"], got["t_2011"], got["u_v"]
     assert (a.title, a.authors, a.year, a.venue, a.publisher, a.doi, a.url, a.entry_type, a.journal_abbr) == ("Mine", ["A B"], "2010", "World Politics", "P", "10.1/a", "https://doi.org/10.1/a", "article", "wpol")
-    assert a.tags == ["own", "literature", "source-note", "law-cases", "wpol", "article", "audit-study"] and a.aliases == ["x", "s_2010"]
+    assert a.tags == ["own", "fixed", "source-note", "law-cases", "wpol", "article", "audit-correspondence", "audit-study"] and a.aliases == ["x", "s_2010"]
     assert (b.title, b.authors, b.year, b.doi, b.journal_abbr) == ("Theirs", ["C D"], "2011", "10.2/b", "annals_of_x")
-    assert b.tags == ["literature", "source-note", "law-cases", "annals_of_x", "article", "needs-summary"]
+    assert b.tags == ["fixed", "source-note", "law-cases", "annals_of_x", "article", "needs-summary"]
     assert (c_.title, c_.doi, c_.entry_type) == ("u v", "", "misc") and "metadata-review" in c_.tags
 
 
