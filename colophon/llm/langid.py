@@ -146,11 +146,15 @@ def fit_language(docs: DataFrame, sample: int = 2400, reject_share: float = 0.00
     if not counts:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
     few, _ = sampled(rows, "lang", max(20, sample // len(counts)), seed, counts)
-    got = few.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").transform(arrow, _counts, "lang string, i array<int>, c array<int>").toPandas()
+    got = few.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").transform(arrow, _counts, "lang string, i array<int>, c array<int>").toArrow().combine_chunks()
     trim()
     labels = sorted(counts)
     number = {x: i for i, x in enumerate(labels)}
-    examples = [(number[x], np.asarray(i), np.asarray(c)) for x, i, c in zip(got["lang"], got["i"], got["c"], strict=True) if len(i)]
+    # views into two flat columns
+    langs, lists = got.column("lang").to_pylist(), got.column("i").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    counts_ = np.asarray(got.column("c").combine_chunks().values) if got.num_rows else np.zeros(0, np.int32)
+    examples = [(number[x], flat[s:e], counts_[s:e]) for x, s, e in zip(langs, ends[:-1], ends[1:], strict=True) if e > s]
     examples.sort(key=lambda e: (e[0], len(e[1]), e[1].sum(), (e[1] * e[2]).sum()))  # the order rows arrive in has no say
     rng = np.random.Generator(np.random.PCG64(seed))
     order = rng.permutation(len(examples))
@@ -159,7 +163,7 @@ def fit_language(docs: DataFrame, sample: int = 2400, reject_share: float = 0.00
     table = emb @ w
     z = np.array([(examples[k][2] / examples[k][2].sum()) @ table[examples[k][1]] + bias for k in back]).reshape(len(back), len(labels))
     t, reject = _calibrated(z, np.array([examples[k][0] for k in back], int), reject_share) if len(back) else (1.0, 0.0)
-    del examples, emb, got
+    del examples, emb, got, lists, flat, counts_
     trim()
     return LanguageModel(labels, np.ascontiguousarray(table, np.float32), bias, t, reject)
 
