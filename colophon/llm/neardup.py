@@ -16,8 +16,9 @@ lost.  Buckets are aggregated before the shuffle and joined by sort-merge joins,
 when a key is hot.
 
 Defined results: null or empty texts and texts without words have no shingles, link with nothing and stand alone;
-repeated rows of equal doc_id count once for linking and come back as often as they came in; an empty table gives an
-empty result; extra columns are ignored.
+repeated rows of equal doc_id count once for linking and come back as often as they came in; if their texts differ, the
+document links as the text of least hash does, and with equal texts of any of its rows; rows without doc_id stand alone,
+with a null component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,6 +75,12 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(row, np.arange(len(count) + 1))
 
 
+def _sums(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every set, by sums."""
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mix(sets, 501), begin), np.add.reduceat(mix(sets, 502), begin)
+
+
 def _signatures(p: Banding):
     n_min = p.a_bands * p.a_rows + p.b_bands * p.b_rows
     rng = np.random.Generator(np.random.PCG64(7))
@@ -101,8 +108,7 @@ def _signatures(p: Banding):
                         for i in range(n_min):
                             v = sets * mul[i] + add[i]
                             minima[:, i] = np.minimum.reduceat(v ^ (v >> U64(31)), begin)
-                        h1[some] = np.add.reduceat(mix(sets, 501), begin)
-                        h2[some] = np.add.reduceat(mix(sets, 502), begin)
+                    h1[some], h2[some] = _sums(sets, begin)
                 cut = p.a_bands * p.a_rows
                 side = {
                     "a": (bands(minima[:, :cut], p.a_bands, p.a_rows, 1000), p.a_bands),
@@ -126,9 +132,13 @@ def _sets(words: int):
         for batch in batches:
             for a, b, data, off in pieces(batch.column("text")):
                 sets, first = shingles(Words(data, off, SPACED), words)
+                some = np.flatnonzero(np.diff(first))
+                h1, h2 = np.zeros(b - a, U64), np.zeros(b - a, U64)
+                if len(some):
+                    h1[some], h2[some] = _sums(sets, first[:-1][some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(signed(sets)))],
-                    ["id", "s"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(signed(h1)), pa.array(signed(h2)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(signed(sets)))],
+                    ["id", "h1", "h2", "s"],
                 )
 
     return run
@@ -238,9 +248,10 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
         docs.transform(arrow, _signatures(p), "doc_id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>"), "signatures"
     )
     classes = written(
-        sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes"
+        sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes"
     )
-    reps = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "a", "b"), F.struct("h1", "h2")).alias("v_")).select("doc_id", "v_.*")
     # a row becomes more than a hundred: as many tasks as any shuffle has
     reps = reps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id", F.lit(9)))
     keys = (
@@ -263,8 +274,9 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     near = F.lit(100) * F.least("n", "n2") >= F.lit(p.percent) * F.greatest("n", "n2")
     ids = written(live.select("doc_id").distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
-    sets = docs.join(wanted, "doc_id", "left_semi").transform(arrow, _sets(p.words), "id long, s array<long>").dropDuplicates(["id"])
-    sets = written(sets, "sets")
+    sets = docs.join(wanted, "doc_id", "left_semi").transform(arrow, _sets(p.words), "id long, h1 long, h2 long, s array<long>")
+    # of a document's texts the one that its signature is of
+    sets = written(sets.where(F.size("s") > 0).groupBy("id").agg(F.min_by("s", F.struct("h1", "h2")).alias("s")), "sets")
     # the texts that share most buckets are compared first
     size = live.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     score = live.join(size, "key").groupBy("doc_id").agg(F.sum("c").alias("score"))
@@ -303,5 +315,5 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
             "h1", "h2", F.coalesce("label", "rep").alias("rep")
         )
     found = sig.select("doc_id", "n_shingles", "h1", "h2").join(reps_of, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
