@@ -9,8 +9,9 @@ that are drawn in part.  The window is the blocks from the first one that no lon
 documents (if the permutation ends before, those ahead of it are taken in); where it holds more than ``pack``, its
 documents are dealt into blocks again, level by level.  Of the last window's documents those are drawn whose sum is
 nearest to what the target still lacks: in permuted order whatever fits, and of the EXACT smallest the best subset of
-all, with one more document if that is nearer.  The rule is one for all sizes; the distance to the target is at most
-half the largest of those smallest documents, or where they cannot reach, less than the smallest document left out.
+all; with that, one of the larger documents may go, come, or give its place to another, whichever leaves the least
+distance.  The rule is one for all sizes; the distance to the target is at most half the largest of those smallest
+documents, or where they cannot reach, less than the smallest document left out.
 
 Splitting: a binary tree over the output shards splits the vector of quotas exactly: the left half of the shards draws
 its capacity from the quotas without replacement (a multivariate hypergeometric draw), the right half keeps the rest,
@@ -41,7 +42,7 @@ from .common import text_or_empty, written
 
 BLOCKS = 256
 #: Documents that are tried in all combinations.
-EXACT = 20
+EXACT = 16
 _LEVELS = 8
 
 
@@ -96,28 +97,30 @@ def split_quotas(units: np.ndarray, shards: int, rng: np.random.Generator) -> np
     return out
 
 
-def nearest_subset(sizes: np.ndarray, rest: float) -> np.ndarray:
-    """The subset whose sum is nearest to ``rest`` (the smaller sum of two as near), among all: sums of either half of
-    the sizes meet in the middle."""
+class Subsets:
+    """All sums of a few sizes, and the subset of each."""
 
-    def sums(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(1, np.int64)
-        for v in x:
-            out = np.concatenate([out, out + v])
-        return out
+    def __init__(self, sizes: np.ndarray):
+        sums = np.zeros(1, np.int64)
+        for v in sizes:
+            sums = np.concatenate([sums, sums + v])
+        self.count, self.order = len(sizes), np.argsort(sums, kind="stable")
+        self.sums = sums[self.order]
 
-    half = len(sizes) // 2
-    low, high = sums(sizes[:half]), sums(sizes[half:])
-    order = np.argsort(high, kind="stable")
-    at = np.searchsorted(high[order], rest - low)
-    best = (np.inf, 0.0, 0, 0)
-    for shift in (-1, 0):
-        k = order[np.clip(at + shift, 0, len(high) - 1)]
-        total = low + high[k]
-        i = int(np.lexsort((total, np.abs(rest - total)))[0])
-        best = min(best, (abs(rest - float(total[i])), float(total[i]), i, int(k[i])))
-    bits = [best[2] >> j & 1 for j in range(half)] + [best[3] >> j & 1 for j in range(len(sizes) - half)]
-    return np.array(bits, bool)
+    def nearest(self, rest: np.ndarray) -> np.ndarray:
+        """Places of the sums nearest to each of ``rest``, of two as near the smaller one."""
+        high = np.clip(np.searchsorted(self.sums, rest), 0, len(self.sums) - 1)
+        low = np.maximum(high - 1, 0)
+        return np.where(np.abs(rest - self.sums[low]) <= np.abs(rest - self.sums[high]), low, high)
+
+    def subset(self, place: int) -> np.ndarray:
+        return np.array([self.order[place] >> j & 1 for j in range(self.count)], bool)
+
+
+def nearest_subset(sizes: np.ndarray, rest: float) -> np.ndarray:
+    """The subset whose sum is nearest to ``rest`` (the smaller sum of two as near), among all."""
+    every = Subsets(sizes)
+    return every.subset(int(every.nearest(np.array([rest]))[0]))
 
 
 def nearest_documents(sizes: np.ndarray, rest: float) -> np.ndarray:
@@ -130,14 +133,25 @@ def nearest_documents(sizes: np.ndarray, rest: float) -> np.ndarray:
         if sizes[i] <= rest:
             chosen[i] = True
             rest -= int(sizes[i])
-    more = others[~chosen[others]]
-    more = more[np.argsort(sizes[more], kind="stable")[:1]]
-    subset = nearest_subset(sizes[small], rest)
-    gap = abs(rest - sizes[small][subset].sum())
-    for i in more:
-        if sizes[i] - rest < gap:
-            chosen[i], subset = True, np.zeros(len(small), bool)
-    chosen[small] = subset
+    every = Subsets(sizes[small])
+    inside, outside = others[chosen[others]], others[~chosen[others]]
+    # what can go (nothing or a document) against what can come
+    leave, enter = np.append(0, sizes[inside]), np.append(0, sizes[outside])
+    best = (np.inf, 0, 0, 0)
+    for i, gone in enumerate(leave):
+        lacks = rest + gone - enter
+        place = every.nearest(lacks)
+        gap = np.abs(lacks - every.sums[place])
+        j = int(gap.argmin())
+        if gap[j] < best[0]:
+            best = (float(gap[j]), i, j, int(place[j]))
+        if best[0] <= 0.5:  # sums are whole numbers
+            break
+    if best[1]:
+        chosen[inside[best[1] - 1]] = False
+    if best[2]:
+        chosen[outside[best[2] - 1]] = True
+    chosen[small] = every.subset(best[3])
     return chosen
 
 
@@ -303,9 +317,11 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     it.  These replace columns of the same names."""
     sized = written(docs.select("doc_id", "source", _size().alias("size")), "sizes")
     own = docs.select(*(c for c in docs.columns if c.lower() not in MIX_COLUMNS))
-    rows = _draws(own, _plan(sized, mix), mix).where(F.size("shards__") > 0).withColumn("size", _size())
+    # the table's columns travel as one, so that none meets a name of the plan's
+    packed = own.select("doc_id", "source", F.struct("*").alias("own__"), _size().alias("size"))
+    rows = _draws(packed, _plan(sized, mix), mix).where(F.size("shards__") > 0)
     rows = rows.select(
-        *own.columns, "size", F.col("source_size__").alias("source_size"), F.col("target__").alias("target"),
+        "own__.*", "size", F.col("source_size__").alias("source_size"), F.col("target__").alias("target"),
         (F.size("shards__") * F.col("size")).cast("long").alias("taken"), F.posexplode("shards__").alias("copy", "shard"),
     ).withColumn("place", F.xxhash64("doc_id", "copy", F.lit(mix.seed + 200)))
     # a shard is laid out in up to 256 runs of places, so that its size does not bound a task's
