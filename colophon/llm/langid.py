@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow, held_out, trim
-from .textkern import LETTERS, LOWER, U64, pieces
+from .textkern import LETTERS, LOWER, U64, lut, pieces
 
 BITS = 15
 U32 = np.uint32
+_ASCII = lut((0x41, 0x5A), (0x61, 0x7A))
 _FOLD = np.where(LETTERS[LOWER], LOWER, 0x20).astype(np.uint8)
 
 
@@ -189,12 +190,16 @@ def _scores(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> tuple[np
 
 def _judged(model: LanguageModel, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whether each text has a letter, the number of its best label and its probability."""
-    best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+    best, score, plain = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]
     for _, _, data, off in pieces(col):
         i, p = _scores(model, data, off)
         best.append(i)
         score.append(p)
-    letters = np.array([x.is_valid and any(map(str.isalpha, x.as_py())) for x in col], bool)
+        seen = np.concatenate([[0], np.cumsum(_ASCII[data])])
+        plain.append(seen[off[1:]] > seen[off[:-1]])
+    letters = np.concatenate(plain)
+    for k in np.flatnonzero(~letters):  # texts without an ASCII letter may have others
+        letters[k] = col[k].is_valid and any(map(str.isalpha, col[k].as_py()))
     return letters, np.concatenate(best), np.where(letters, np.concatenate(score), 0.0)
 
 

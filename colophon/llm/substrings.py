@@ -59,10 +59,10 @@ class Suffixes:
     length: int = 100
     sample: int = 2000
     ranges: int = 1024
-    bucket: int = 400_000
-    context_bucket: int = 40_000
+    bucket: int = 150_000
+    context_bucket: int = 30_000
     hot: int = 200_000
-    held: int = 400_000
+    held: int = 100_000
     broadcast_ids: int = 1_000_000
 
     @property
@@ -368,8 +368,8 @@ def _strings(data: np.ndarray, off: np.ndarray, ids: np.ndarray, row: np.ndarray
     np.add.at(edge, np.maximum(np.minimum(at, off[row + 1] - p.length) + 1, np.maximum(at - p.before, off[row])), -1)
     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     h, g = RangeHash(data), RangeHash(data, 1)
-    for i in range(0, len(starts), 200_000):
-        s = starts[i : i + 200_000]
+    for i in range(0, len(starts), 100_000):
+        s = starts[i : i + 100_000]
         of = np.searchsorted(off, s, side="right") - 1
         rec = np.zeros(len(s), _STRING)
         rec["h"], rec["g"], rec["doc"], rec["s"] = h(s, s + p.length), g(s, s + p.length), ids[of], s - off[of]
@@ -397,13 +397,13 @@ def _around(r: Ranges, p: Suffixes):
                 pos, w = flat[ends[a] : ends[b]].astype(np.int64), wide[ends[a] : ends[b]]
                 row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
                 at, own = pos + off[row], ids[a:b]
-                for i in range(0, len(at), 20_000):
-                    k = np.arange(i, min(i + 20_000, len(at)))[~w[i : i + 20_000]]
+                for i in range(0, len(at), 4000):
+                    k = np.arange(i, min(i + 4000, len(at)))[~w[i : i + 4000]]
                     rec, pid = _contexts(data, off, own, row[k], at[k], r, p)
                     recs.append(rec)
                     pids.append(pid)
                     held += len(k)
-                    if held > 60_000:
+                    if held > 20_000:
                         yield _emit(0, np.concatenate(recs), np.concatenate(pids))
                         recs, pids, held = [], [], 0
                 if w.any():

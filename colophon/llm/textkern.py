@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -32,7 +32,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(1 << 16, 1 << (n - 1).bit_length())
+            size = -(-n // (1 << 16)) << 16
             with np.errstate(over="ignore"):
                 up, down = np.full(size, _P, U64), np.full(size, _P_INV, U64)
                 up[0] = down[0] = 1
