@@ -136,16 +136,32 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def reaches(a: str, b: str, least: float) -> bool:
-    """``ratio(a, b) >= least``.  Matching blocks are a common subsequence, so a pair whose longest common subsequence
-    is too short is ruled out before ``ratio`` is asked, as soon as a start of ``a`` has lost too many characters."""
+def gram_counts(text: str):
+    """How often each three characters in a row occur, in 4,096 buckets."""
+    import numpy as np
+
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.bincount(((c[:-2] * 0x9E3779B1 + c[1:-1] * 0x85EBCA77 + c[2:] * 0xC2B2AE3D) >> np.uint64(7)) % 4096 if len(c) > 2 else [], minlength=4096).astype(np.int32)
+
+
+def reaches(a: str, b: str, least: float, counts: dict | None = None) -> bool:
+    """``ratio(a, b) >= least``.  Matching blocks are a common subsequence, so two bounds rule pairs out before ``ratio`` is
+    asked: an unmatched character breaks three runs of three characters, one put in between breaks two, so similar texts
+    share many runs (``counts`` keeps them by text); and their longest common subsequence must be long, which is given up
+    as soon as a start of ``a`` has lost too many characters."""
     import math
 
+    import numpy as np
+
     total = len(a) + len(b)
     need = math.ceil(least * total / 2 - 1e-6)
     lost = len(a) - need  # characters of a that may stay unmatched
     if min(len(a), len(b)) < need:
         return False
+    kept = {} if counts is None else counts
+    x, y = (kept[t] if t in kept else kept.setdefault(t, gram_counts(t)) for t in (a, b))
+    if np.minimum(x, y).sum() < len(a) - 2 - 3 * lost - 2 * (len(b) - need):
+        return False
     at: dict[str, int] = {}
     for j, ch in enumerate(b):
         at[ch] = at.get(ch, 0) | (1 << j)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stages import settled
+
 
 def enriched(rows: DataFrame, lookup: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Replace-if-found: ``columns`` from the lookup where it has the key, else as they were."""
@@ -62,16 +64,26 @@ def unique_matches(left: DataFrame, right: DataFrame, left_id: str, keys: list[s
 def allocated_names(rows: DataFrame, id_: str, name: str, taken: DataFrame | None = None) -> DataFrame:
     """(id, name): in order of ``id_`` a row keeps its name if that is free, else takes the first free of _2, _3, ...
 
-    A name is taken by ``taken`` (column ``name``), and by what earlier rows got.  Rows meet in a fold only where a name
-    can hold another row's: names that are alike once their endings _2, _3, ... are cut off, and that are asked for more
-    than once or taken; every other row keeps its name where it is.
+    A name is taken by ``taken`` (column ``name``), and by what earlier rows got.  Names that are alike once their endings
+    _2, _3, ... are cut off can meet; where none is asked for twice or taken, every row keeps its name.  Where all ask for
+    one free name the k-th gets k, counted over ranges of ids, so that a name of many rows is no single task's.  Only
+    where names with endings, or taken ones, are asked for again does a fold give them out in order.
     """
     stem = F.regexp_replace(name, r"(_([2-9]|[1-9][0-9]+))+$", "")
     asked = rows.select(F.col(id_).alias("i_"), F.col(name).alias("n_"), stem.alias("s_"), F.lit(False).alias("t_"))
     if taken is not None:
         asked = asked.unionByName(taken.select(F.lit(None).cast(rows.schema[id_].dataType).alias("i_"), F.col(name).alias("n_"), stem.alias("s_"), F.lit(True).alias("t_")))
-    repeated = asked.groupBy("n_", "s_").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s_").distinct()
-    calm = asked.join(repeated, "s_", "left_anti").where("NOT t_").select(F.col("i_").alias(id_), F.col("n_").alias(name))
+    by_name = asked.groupBy("s_", "n_").agg(F.count(F.lit(1)).alias("c"), F.max("t_").alias("t"))
+    families = by_name.groupBy("s_").agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("k"), F.max("t").alias("t")).where("c > 1")
+    families = families.select("s_", ((F.col("k") == 1) & ~F.col("t")).alias("plain"))
+    calm = asked.join(families, "s_", "left_anti").where("NOT t_").select(F.col("i_").alias(id_), F.col("n_").alias(name))
+    alike = asked.join(families.where("plain"), "s_", "left_semi")
+    ranged = settled(alike.repartitionByRange("n_", "i_").withColumn("b_", F.spark_partition_id()))
+    before = ranged.groupBy("n_", "b_").agg(F.count(F.lit(1)).alias("c"))
+    before = before.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("n_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("n_", "b_").orderBy("i_")) + F.col("before")
+    counted = ranged.join(before.select("n_", "b_", "before"), ["n_", "b_"]).withColumn("k_", number)
+    counted = counted.select(F.col("i_").alias(id_), F.when(F.col("k_") == 1, F.col("n_")).otherwise(F.concat("n_", F.lit("_"), F.col("k_").cast("string"))).alias(name))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         held = set(group.loc[group["t_"], "n_"])
@@ -88,25 +100,35 @@ def allocated_names(rows: DataFrame, id_: str, name: str, taken: DataFrame | Non
         return pd.DataFrame({id_: todo["i_"], name: out})
 
     kinds = f"{id_} {rows.schema[id_].dataType.simpleString()}, {name} string"
-    return calm.unionByName(asked.join(repeated, "s_", "left_semi").groupBy("s_").applyInPandas(fold, kinds))
+    rest = asked.join(families.where("NOT plain"), "s_", "left_semi").groupBy("s_").applyInPandas(fold, kinds)
+    return calm.unionByName(counted).unionByName(rest)
 
 
-def related(rows: DataFrame, id_: str, tokens: str, top: int = 6, least: int = 2, each: float = 0.22, most: float = 1.8) -> DataFrame:
+def related(rows: DataFrame, id_: str, tokens: str, top: int = 6, least: int = 2, each: float = 0.22, most: float = 1.8, rounds: tuple[int, ...] = (8, 5, 3)) -> DataFrame:
     """(id, rank, other, shared, score): the rows that share most tokens.
 
-    Exact by prefix filtering: with tokens in order of rarity, two rows that share ``least`` tokens share one among
-    all but the last least - 1 of either.
+    Exact by prefix filtering: with tokens in order of rarity, two rows that share t tokens share one among all but the
+    last t - 1 of either.  Rounds begin with a large t, whose prefixes leave the frequent tokens out; a row that finds
+    ``top`` partners of t tokens or more has its best and goes, so only what is left at the end meets by tokens that many
+    rows hold.
     """
     one = rows.select(F.col(id_).alias("id"), F.col(tokens).alias("t"))
     pairs = one.select("id", F.explode("t").alias("w"))
     frequency = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ranked = pairs.join(frequency, "w").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("t"))
-    ranked = ranked.where(F.size("t") >= least)
-    short = ranked.select("id", F.explode(F.slice("t", F.lit(1), F.size("t") - (least - 1))).alias("w"))
-    met = short.join(short.select(F.col("id").alias("other"), "w"), "w").where("id < other").select("id", "other").distinct()
-    full = met.join(ranked, "id").join(ranked.select(F.col("id").alias("other"), F.col("t").alias("u")), "other")
-    full = full.withColumn("shared", F.size(F.array_intersect("t", "u"))).where(F.col("shared") >= least).select("id", "other", "shared")
-    both = full.unionByName(full.select(F.col("other").alias("id"), F.col("id").alias("other"), "shared"))
-    both = both.withColumn("score", F.least(F.lit(most), F.col("shared") * F.lit(each)))
-    order = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    every = settled(ranked.where(F.size("t") >= least))
+    left, found = every, []
+    for t in [*(r for r in rounds if r > least), least]:
+        prefix = F.explode(F.slice("t", F.lit(1), F.size("t") - (t - 1)))
+        mine = left.where(F.size("t") >= t).select("id", prefix.alias("w"))
+        met = mine.join(every.where(F.size("t") >= t).select(F.col("id").alias("other"), prefix.alias("w")), "w").where("id <> other").select("id", "other").distinct()
+        full = met.join(every, "id").join(every.select(F.col("id").alias("other"), F.col("t").alias("u")), "other")
+        full = full.select("id", "other", F.size(F.array_intersect("t", "u")).alias("shared")).where(F.col("shared") >= t)
+        order = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
+        best = settled(full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
+        done = best.where(F.col("rank") == top).select("id")
+        # what a row without enough partners found is found again in the next round
+        found.append(best if t == least else best.join(done, "id", "left_semi"))
+        left = settled(left.join(done, "id", "left_anti")) if t != least else left
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("id", "other", "shared", F.least(F.lit(most), F.col("shared") * F.lit(each)).alias("score"), "rank")

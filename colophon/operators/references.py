@@ -65,7 +65,8 @@ def similar_references(rows: DataFrame, block: list[str], id_: str, norm: str, r
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([reaches(p, q, ratio_least) for p, q in zip(x, y, strict=True)], dtype=bool)
+        counts: dict = {}
+        return pd.Series([reaches(p, q, ratio_least, counts) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     sure = pairs.where(inside).select("a", "b")
     maybe = pairs.where(near & ~inside).where(alike("na", "nb")).select("a", "b")

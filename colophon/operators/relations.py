@@ -59,7 +59,7 @@ def signatures(topics: DataFrame) -> DataFrame:
     """(id, dir, stem, title, year, journal_abbr, authors, regions, methods, tokens, place): what notes are compared by."""
     fields = F.concat("keywords", "topics", "tags")
     # accents are folded by a Python function, which a higher-order function cannot call: lists are joined first
-    slugs = lambda c: F.filter(F.split(_slug(F.array_join(c, "\n ")), "_"), lambda w: w != "")
+    slugs = lambda c: F.when(F.size(c) > 0, F.filter(F.split(_slug(F.array_join(c, "\n ")), "_"), lambda w: w != "")).otherwise(F.array().cast(_TEXTS))
     one = topics.select("*", F.concat("dir", F.lit("/"), "stem").alias("id"))
     keyed = {k: _each(one, k, fold) for k, fold in (("authors", surname_slug), ("regions", _slug), ("methods", _slug))}
     out = one.withColumn("field_words", F.filter(slugs(fields), lambda w: (F.length(w) >= 4) & ~w.isin(*STOPWORDS))).drop("authors", "regions", "methods")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import pagetext as pt
 from ..functions import text as x
+from ..functions import urls as u
 from ..functions.names import JOURNALS, journal_code, source_code
 from ..operators import adapters as ad
 from ..operators import discovery as d
@@ -322,3 +323,9 @@ def taken_names(spark, sf_dir):
     """Names given out in order against names that are taken: a, a_2 and c are, and what earlier rows got."""
     taken = spark.createDataFrame([("a",), ("a_2",), ("c",)], "name string")
     return allocated_names(spark.createDataFrame([(i, n) for i, n, _ in _TAKEN], "id int, name string"), "id", "name", taken)
+
+
+@query(f"""SELECT id AS item_id, 'http://x.org/' || id || '.pdf' AS links FROM {_DOCS}""")
+def fulltext_links(spark, sf_dir):
+    """Links of items whose content type says PDF."""
+    return _items(_docs(spark, sf_dir)).select("item_id", F.array_join(u.pdf_links(F.col("link")), "|").alias("links"))

@@ -94,20 +94,7 @@ def citation_titles(spark, sf_dir):
     return oc.reference_titles(spark.createDataFrame(_REFERENCES, "id int, t string"), "t", "id")
 
 
-@query()
-def document_citation_titles(spark, sf_dir):
-    """The same over all whole documents: quoted titles."""
-    return oc.reference_titles(table(spark, sf_dir, "documents"), "text", "doc_id")
-
-
-@query()
-def parsed_references(spark, sf_dir):
-    """Documents as pages: no line has a year, so the result is empty on the driver's tables; tests hold literal pages."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    return oc.parsed_references(docs, "doc_id", "page")
-
-
-@query()
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(text, 'https?://\S+', ' ', 'g'))), '\bdoi\s*:?\s*', ' ', 'g'), '\bvols?\.\b|\bnos?\.\b|\bpp?\.\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents""")
 def document_compare_keys(spark, sf_dir):
     """Comparison keys of whole documents; the accents are folded in Python."""
     return table(spark, sf_dir, "documents").select("doc_id", c.compare_key(F.col("text")).alias("norm"))

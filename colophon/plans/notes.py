@@ -281,3 +281,60 @@ def bib_forms(spark, sf_dir):
     """Pages and escapes of BibTeX: a dash between digits is doubled, only backslashes and braces are escaped."""
     pages = F.get(F.array(*map(F.lit, ("a-b", "1 – 9", " 12—19 ", "1-", ""))), _mod(5).cast("int"))
     return _docs(spark, sf_dir).select("id", bib.bib_pages(pages).alias("pages"), bib.bib_escape(F.lit("A & B\\_{x}")).alias("shown"))
+
+
+@query(f"""SELECT id, k AS reference_index, {_REFERENCE} AS reference, trim(regexp_replace(lower({_REFERENCE}), '[^a-z0-9]+', ' ', 'g')) AS norm FROM {_DOCS}, generate_series(1, 9) AS g(k) WHERE k <= 6 OR id % 2 = 0""")
+def parsed_references(spark, sf_dir):
+    """Lines of all pages joined to references, each once a document, with their comparison keys."""
+    out = oc.parsed_references(_pages(_docs(spark, sf_dir)).where("page > 1"), "id", "page")
+    return out.select("id", F.col("reference_index").cast("long").alias("reference_index"), "reference", "norm")
+
+
+@query(f"""SELECT id, k AS page, CASE WHEN k = 1 THEN 0 WHEN k = 2 THEN 6 WHEN id % 2 = 0 THEN 4 ELSE 1 END AS refs, CASE WHEN k = 1 THEN CASE WHEN t = '' THEN 1 ELSE 2 END WHEN k = 2 THEN CASE WHEN id % 3 = 2 THEN 8 ELSE 11 END WHEN id % 2 = 0 THEN 4 ELSE 2 END AS lines,
+ k = 2 AND id % 3 <> 2 AS heading, k = 3 AND id % 2 = 1 AS appendix FROM {_DOCS}, generate_series(1, 3) AS g(k)""")
+def page_reference_counts(spark, sf_dir):
+    """Lines shaped like references, other lines, headings and appendices, by page."""
+    out = oc.scored_pages(_pages(_docs(spark, sf_dir)), "id", "page")
+    return out.select("id", F.col("page").cast("long").alias("page"), F.col("refs").cast("int").alias("refs"), F.col("lines").cast("int").alias("lines"), "heading", "appendix")
+
+
+@query(f"""SELECT 'title of number ' || k || ' about ' || source || ' things' AS key, 'Title of number ' || k || ' about ' || source || ' things' AS title FROM (SELECT DISTINCT source FROM documents), generate_series(1, 6) AS g(k)""")
+def reference_titles(spark, sf_dir):
+    """Titles in the references of all documents, once each."""
+    found = oc.parsed_references(_pages(_docs(spark, sf_dir)).where("page = 2"), "id", "page")
+    return oc.reference_titles(found.withColumn("at", F.struct("id", "reference_index")), "reference", "at")
+
+
+@query(f"""SELECT id, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS place, round(CASE id % 3 WHEN 0 THEN 1.0 + 0.08 + 0.06 WHEN 1 THEN 1.0 + 0.05 ELSE 1.0 END, 6)::DOUBLE AS score FROM {_DOCS} WHERE t <> ''""")
+def best_results(spark, sf_dir):
+    """Of a record's search results the best one: title, year, author and venue; the earlier of equal ones; none below the threshold."""
+    docs = _docs(spark, sf_dir).where("t <> ''")
+    i = _str(F.col("id"))
+    asked = docs.select("id", F.col("t").alias("title"), _str(1990 + _mod(30)).alias("year"), F.concat(F.lit("zed"), i).alias("author"), F.col("source").alias("venue"))
+    same, far = F.col("t"), F.lit("%%%%")
+    results = docs.select("id", F.posexplode(F.array(
+        F.struct(F.when(_mod(3) == 2, same).when(_mod(3) == 1, same).otherwise(same).alias("title"), F.lit("1800").alias("year"), F.lit("no one").alias("authors"), F.when(_mod(3) == 1, F.concat(F.lit("Annals of "), "source")).otherwise("").alias("venue")),
+        F.struct(F.when(_mod(3) == 1, far).otherwise(same).alias("title"), F.when(_mod(3) == 0, _str(1990 + _mod(30))).otherwise("1801").alias("year"), F.when(_mod(3) == 0, F.concat(F.lit("A. ZED"), i)).otherwise("").alias("authors"), F.lit("").alias("venue")),
+    )).alias("place", "r")).select("id", "place", "r.*")
+    return rec.best_result(asked, results, "id", 0.76).select("id", "place", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT source AS dir, {_STEM} AS stem FROM {_DOCS} WHERE id % 2 = 0 AND id % 3 = 0 AND id % 5 <> 0""")
+def pruned_notes(spark, sf_dir):
+    """Notes to drop: no file, imported metadata only, nothing known, a title that says nothing."""
+    docs = _docs(spark, sf_dir)
+    notes = docs.select(
+        F.col("source").alias("dir"), _stem().alias("stem"), F.when(_mod(3) == 0, "imported-metadata").otherwise("organized").alias("status"), F.lit("").alias("doi"), F.lit(None).cast("string").alias("venue"),
+        F.when(_mod(5) == 0, "1999").otherwise("n.d.").alias("year"), F.lit("Working paper series").alias("title"), F.col("t").alias("body"),
+    )
+    return o.prunable(notes, docs.where(_mod(2) == 1).select(F.col("source").alias("dir"), _stem().alias("stem")))
+
+
+@query(f"""SELECT source AS dir, {_STEM} AS stem, CASE WHEN id % 2 = 0 THEN {_STEM} || '_2' ELSE {_STEM} END AS winner, CASE WHEN id % 2 = 0 THEN 'alias b|' ELSE 'alias a|' END || {_STEM} || '|' || {_STEM} || '_2|' || CASE WHEN id % 2 = 0 THEN 'alias a' ELSE 'alias b' END AS aliases FROM {_DOCS} WHERE id % 3 = 0""")
+def merged_notes(spark, sf_dir):
+    """Copies of notes that go into their originals: the better one stays, with the aliases of both."""
+    docs = _docs(spark, sf_dir).where(_mod(3) == 0)
+    make = lambda stem, alias, body: docs.select(F.col("source").alias("dir"), stem.alias("stem"), F.array(F.lit(alias)).alias("aliases"), F.lit("organized").alias("status"), F.array().cast("array<string>").alias("tags"), body.alias("body"))
+    notes = make(_stem(), "alias a", F.lit("three words here")).unionByName(make(F.concat(_stem(), F.lit("_2")), "alias b", F.when(_mod(2) == 0, "## Core Argument\nmore").otherwise("one")))
+    files = docs.select(F.col("source").alias("dir"), _stem().alias("stem"))
+    return o.merged(notes, o.copies(notes, files)).select("dir", "stem", "winner", F.array_join("aliases", "|").alias("aliases"))
