@@ -117,8 +117,8 @@ def header_yaml(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-# Directories that hold no collections.
-SYSTEM_DIRS = (".git", ".obsidian", ".claude", "_Preprocess", "_Duplicates", "Notes", "Reading Notes", "Reference", "reference", "Diary")
+# Directories that hold no collections, beside those whose names begin with a dot.
+SYSTEM_DIRS = ("_Preprocess", "_Duplicates", "Notes", "Reading Notes", "Reference", "reference", "Diary")
 
 
 def collections(files: DataFrame, known: DataFrame, wanted: list[str] | None = None) -> DataFrame:
