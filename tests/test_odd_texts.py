@@ -40,3 +40,7 @@ def same_as_sql(spark, name, sf):
 
 def test_note_records(spark, odd):
     same_as_sql(spark, "note_records", odd)
+
+
+def test_provider_cascade(spark, odd):
+    same_as_sql(spark, "provider_cascade", odd)
