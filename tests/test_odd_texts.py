@@ -44,3 +44,7 @@ def test_note_records(spark, odd):
 
 def test_provider_cascade(spark, odd):
     same_as_sql(spark, "provider_cascade", odd)
+
+
+def test_page_titles(spark, odd):
+    same_as_sql(spark, "page_titles", odd)
