@@ -48,3 +48,7 @@ def test_provider_cascade(spark, odd):
 
 def test_page_titles(spark, odd):
     same_as_sql(spark, "page_titles", odd)
+
+
+def test_merged_headers(spark, odd):
+    same_as_sql(spark, "merged_headers", odd)
