@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions.labels import search_filter
 from .readers import ITEM, WORK
 
-PER_PAGE, ROWS = 200, 100
+PER_PAGE, ROWS, TASKS = 200, 100, 64
 
 
 def numbered(load: Callable[[int], dict], per_page: int = PER_PAGE) -> Iterator[list[dict]]:
@@ -75,8 +75,10 @@ def scanned(asked: DataFrame, load: Callable[[dict, object], dict], kind: str =
                     rows = [{**search, "page": k, "position": i, "record": json.dumps(x, ensure_ascii=False)} for i, x in enumerate(results)]
                     yield pd.DataFrame(rows, columns=[*names, "page", "position", "record"])
 
+    # searches are few rows and much work: dealt over tasks, where they would lie in one
+    dealt = asked.repartition(max(TASKS, asked.sparkSession.sparkContext.defaultParallelism))
     out = T.StructType([*asked.schema.fields, T.StructField("page", T.IntegerType()), T.StructField("position", T.IntegerType()), T.StructField("record", T.StringType())])
-    return asked.mapInPandas(run, out).withColumn("record", F.from_json("record", schema))
+    return dealt.mapInPandas(run, out).withColumn("record", F.from_json("record", schema))
 
 
 RETRIED = frozenset({429, 500, 502, 503, 504})
