@@ -1,10 +1,12 @@
 """Similar whole texts against brute force."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 from colophon import catalogue
 from colophon.functions.text import ratio, reaches
+from colophon.operators import references as r
 
 
 def similar(x, y):
@@ -65,3 +67,52 @@ def test_reaches_equals_ratio():
             assert reaches(a, b, least) == (ratio(a, b) >= least)
             seen.add((least, reaches(a, b, least)))
     assert len(seen) == 4
+
+
+LETTERS = "eeeeeettttaaaaooooiiiinnnnsssshhhhrrrddlcumwfgypbvkjxqz019"
+
+
+def test_reaches_equals_ratio_of_long_texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choices(LETTERS, k=rng.randint(2, 9))) for _ in range(200)]
+    seen = set()
+    for _ in range(250):
+        a = " ".join(rng.choices(words, k=rng.randint(20, 200)))
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // rng.choice([9, 14, 25])))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choices(LETTERS, k=rng.randint(0, 2))
+        b = "".join(b[len(b) // 2 :] + b[: len(b) // 2] if rng.random() < 0.2 else b)
+        exact = ratio(a, b)
+        for least in (0.6, 0.93, exact, exact + 1e-9):
+            assert reaches(a, b, least) == (exact >= least)
+            seen.add(exact >= least)
+    assert len(seen) == 2
+
+
+def test_long_texts_are_decided_soon():
+    rng = random.Random(5)
+    a = " ".join("".join(rng.choices(LETTERS, k=6)) for _ in range(12000))
+    b = a[:20000] + a[20500:60000] + a[61000:]
+    began = time.process_time()
+    assert reaches(a, a, 0.93) and not reaches(a, a[::-1], 0.93)
+    reaches(a, b, 0.93)  # equal to the ratio by the test above, which takes long here
+    assert time.process_time() - began < 5
+
+
+def test_copies_make_few_links(spark):
+    """A family of near copies is joined by one link a text, also where it is cut into cells."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices(LETTERS, k=rng.randint(3, 8))) for _ in range(300)]
+    base, rows = rng.choices(words, k=60), []
+    for k in range(60):
+        w = [*base]
+        w[rng.randrange(60)] = f"x{k}"
+        rows.append((k, "b", " ".join(w)))
+        rows.append((100 + k, "b", " ".join(rng.choices(words, k=60 + k % 5))))
+    frame = spark.createDataFrame(rows, "id long, block string, norm string")
+    for most in (2000, 25):
+        links = r.ratio_links(frame, ["block"], "id", "norm", most=most).collect()
+        parts = {x.id: x.component for x in r.block_components(spark.createDataFrame(links), frame, "id").collect()}
+        assert all(parts[k] == (0 if k < 60 else k) for k, _, _ in rows)
+        assert len(links) == 59 if most == 2000 else len(links) < 600
