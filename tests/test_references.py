@@ -116,3 +116,22 @@ def test_copies_make_few_links(spark):
         parts = {x.id: x.component for x in r.block_components(spark.createDataFrame(links), frame, "id").collect()}
         assert all(parts[k] == (0 if k < 60 else k) for k, _, _ in rows)
         assert len(links) == 59 if most == 2000 else len(links) < 600
+
+
+def test_contained_pairs_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = {""}
+    for size in [*range(1, 40), *range(40, 400, 7)] * 3:
+        t = "".join(rng.choices("ab " if size < 12 else LETTERS, k=size))
+        cut = rng.randint(0, size - int(size * 0.72))
+        texts |= {t, t[cut : cut + int(size * 0.72)], t[: int(size * 0.72) - 1], t[cut:], t[1:-1], t * 2, t[:9] * 20}
+    rows = [(i, i % 2, t) for i, t in enumerate(sorted(texts))]
+    frame = spark.createDataFrame(rows, "id long, block long, norm string")
+    want = sorted((i, j) for i, p, x in rows for j, q, y in rows if i < j and p == q and ((y in x and len(y) >= int(len(x) * 0.72)) or (x in y and len(x) >= int(len(y) * 0.72))))
+    assert sorted((p.a, p.b) for p in r.contained_pairs(frame, ["block"], "id", "norm").collect()) == want and len(want) > 100
+
+
+def test_keys_of_a_text_are_few():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(LETTERS, k=k)) for k in range(20, 3000, 13)]
+    assert max(len(k) for k in r.run_keys(texts, 0.72)) < 30
