@@ -248,3 +248,109 @@ def most_shared(top: int, least: int) -> Callable:
         yield best.table(queries["id"], sets, top)
 
     return search
+
+
+#: What two notes have in common, as bits of a number; below them is the number of words, 9 standing for more.
+AUTHOR, REGION, METHOD, JOURNAL, PLACE, YEARS, NEAR = (1 << k for k in (10, 9, 8, 7, 6, 5, 4))
+
+
+def best_related(top: int, keys: np.ndarray, several: int = 48) -> Callable:
+    """A search for the ``top`` rows of the largest key, 0 being none; of equal ones the first.
+
+    ``keys`` has a key for every set of bits, which no further bit or word makes smaller.  The rows of a piece lie by the
+    authors, regions and methods they have (``kin``): what those give, with all else in common, bounds the rows of a kin,
+    and kins are looked at from the largest bound on; all rows at once, where more than ``several`` would have to be.
+    """
+    traits, marks = (("authors", AUTHOR), ("regions", REGION), ("methods", METHOD)), (("journal", JOURNAL), ("place", PLACE), ("dir", NEAR))
+
+    def plain(table: pa.Table, column: str, none: int) -> np.ndarray:
+        return pa.compute.fill_null(table[column], none).to_numpy()
+
+    def search(queries: pa.Table, pieces: Iterator[tuple[int, pa.Table]]) -> Iterator[pa.Table]:
+        n = queries.num_rows
+        flat, starts = _flat(queries["t"])
+        owner = np.repeat(np.arange(n), np.diff(starts))
+        asked = {k: _flat(queries[k]) for k, _ in traits}
+        years = plain(queries, "year", -1).tolist()
+        best = _Best(n, top + 1)  # a row is a partner of itself here
+        for before, piece in pieces:
+            size, ids = piece.num_rows, piece["id"]
+            kin = plain(piece, "kin", 0)
+            order = np.argsort(kin, kind="stable")
+            kin, piece, places = kin[order], piece.take(pa.array(order)), order.astype(np.int64) + before
+            edges = np.flatnonzero(np.concatenate([[True], kin[1:] != kin[:-1]]))
+            sizes = np.diff(np.concatenate([edges, [size]]))
+            lows, highs = edges.tolist(), (edges + sizes).tolist()
+            kins = {k: Postings(*_flat(piece[k].take(pa.array(edges)))) for k, _ in traits}
+            held = [(bit, kins[k], kins[k].find(asked[k][0]).tolist(), asked[k][1].tolist()) for k, bit in traits]
+            index = Postings(*_flat(piece["t"]))
+            rows, masks = index.rows, index.masks
+            ends, low, high, what = _by_length(index, flat, owner, n)
+            codes, wanted = [], []
+            for c, bit in marks:
+                vocab, inverse = np.unique(plain(piece, c, 0), return_inverse=True)
+                mine = plain(queries, c, 0)
+                at = np.minimum(np.searchsorted(vocab, mine), len(vocab) - 1)
+                codes.append((np.where(piece[c].is_null().to_numpy(), -1, inverse).astype(np.int32), np.uint8(bit)))
+                wanted.append(np.where(queries[c].is_null().to_numpy() | (vocab[at] != mine), -2, at).tolist())
+            year = plain(piece, "year", -1)
+            if year.max() < 1 << 30:
+                year = year.astype(np.int32)
+            gained = np.zeros(len(edges), np.int32)
+
+            def look(q: int, lo: int, hi: int, base, seen=()) -> None:
+                acc = np.zeros(hi - lo, np.uint8)
+                for k in range(ends[q], ends[q + 1]):  # noqa: B023
+                    if (mask := masks.get(what[k])) is not None:  # noqa: B023
+                        acc += mask[lo:hi]
+                    else:
+                        mine = rows[low[k] : high[k]]  # noqa: B023
+                        if hi - lo < size:  # noqa: B023
+                            a, b = np.searchsorted(mine, np.array([lo, hi], np.int32))
+                            mine = mine[a:b] - lo
+                        acc[mine] += 1
+                    if (k - ends[q]) % 200 == 199:  # noqa: B023
+                        np.minimum(acc, 9, out=acc)
+                np.minimum(acc, 9, out=acc)
+                for (code, bit), wish in zip(codes, wanted, strict=True):  # noqa: B023
+                    if wish[q] >= 0:
+                        acc |= (code[lo:hi] == wish[q]).view(np.uint8) * bit
+                if (y := years[q]) >= 0:
+                    y_ = year[lo:hi]  # noqa: B023
+                    acc |= ((y_ >= max(0, y - 3)) & (y_ <= y + 3)).view(np.uint8) * np.uint8(YEARS)
+                key = keys[base : base + 256][acc] if isinstance(base, int) else keys[base + acc]
+                for g in seen:
+                    key[lows[g] : highs[g]] = 0  # noqa: B023
+                near = np.flatnonzero(key >= max(1, best.keys[q, -1]))
+                if len(near):
+                    best.add(q, places[lo + near], key[near])  # noqa: B023
+
+            for q in range(n):
+                gained.fill(0)
+                for bit, by, found, begin in held:
+                    for v in found[begin[q] : begin[q + 1]]:
+                        if v >= 0:
+                            gained[by.rows[by.at[v] : by.at[v + 1]]] |= bit
+                rest = min(9, ends[q + 1] - ends[q]) + (YEARS if years[q] >= 0 else 0)
+                rest += sum(int(bit) for (_, bit), wish in zip(codes, wanted, strict=True) if wish[q] >= 0)
+                bound = keys[gained + rest]
+                most, least = bound.max(), max(1, best.keys[q, -1])
+                if most < least:
+                    continue
+                first = np.flatnonzero(bound == most)
+                if len(first) > several:
+                    look(q, 0, size, np.repeat(gained, sizes))
+                    continue
+                for g in first.tolist():
+                    look(q, lows[g], highs[g], int(gained[g]))
+                others = np.flatnonzero((bound >= max(1, best.keys[q, -1])) & (bound < most))
+                if len(others) > several:
+                    look(q, 0, size, np.repeat(gained, sizes), first.tolist())
+                    continue
+                for g in others[np.argsort(-bound[others], kind="stable")].tolist():
+                    if bound[g] >= best.keys[q, -1]:
+                        look(q, lows[g], highs[g], int(gained[g]))
+            best.name(before, ids)
+        yield best.table(queries["id"], np.arange(n), top)
+
+    return search
